@@ -23,7 +23,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
 
     Sources in code point order, null last, weigh as weights say, repeating; together their targets are all sizes. A
     target ends at cap times its source's size, and what is over goes to the others by weight. That is filling vessels to
-    one level: those full at the level are the first ones when ordered by cap over weight.
+    one level: those full at the level are the first ones when ordered by cap over weight. If all but the first few were open, the level would
+    be what is left over their weights; past the true number of full ones that only falls, so the largest that leaves its first open one open is it.
     """
     s = sized.groupBy("key").agg(F.min("source").alias("source"), F.sum("size").cast("long").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -35,7 +36,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
         "full": F.sum("most").over(by) - F.col("most"), "open": F.sum("w").over(everything) - F.sum("w").over(by) + F.col("w"), "total": F.sum("source_size").over(everything),
     })
     w = w.withColumn("level", (F.col("total") - F.col("full")).cast("double") / F.col("open"))
-    level = F.min(F.when(F.col("most") / F.col("w") > F.col("level"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("most") / F.col("w") > F.col("level"), F.col("level"))).over(everything)
     return w.withColumn("level", level).select("key", "source_size", F.least(F.col("most").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("most").cast("double"))).alias("target"))
 
 
@@ -99,7 +100,7 @@ filled AS (
   SELECT *, sum(most) OVER o - most AS full_before, sum(w) OVER () - sum(w) OVER o + w AS open_w, sum(source_size) OVER () AS total
   FROM weighed WINDOW o AS (ORDER BY most::DOUBLE / w, source NULLS FIRST ROWS UNBOUNDED PRECEDING)),
 levels AS (SELECT *, (total - full_before)::BIGINT::DOUBLE / open_w::BIGINT AS own FROM filled),
-level AS (SELECT min(own) AS level FROM levels WHERE most::DOUBLE / w > own),
+level AS (SELECT max(own) AS level FROM levels WHERE most::DOUBLE / w > own),
 plan AS (
   SELECT source, source_size, least(most::DOUBLE, coalesce(level * w, most::DOUBLE)) AS target,
          CASE WHEN source_size > 0 THEN least(most::DOUBLE, coalesce(level * w, most::DOUBLE)) / source_size ELSE 0.0 END AS ratio

@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import byte_bpe, language_id, line_dedup, mixing, quality, token_counts
+from lodestar.llm import byte_bpe, chroma, embedding_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio, so the bytes of each text are read as 8-bit samples, in short frames for short texts."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chroma.align(chroma.fingerprints(docs, "text", frame=256, hop=64, keep=["doc_id"]), "doc_id")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(language_id.remainder(F.col("doc_id"), 4) != 2))
@@ -34,6 +40,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.group_similar(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality")
     learn = labels.where(language_id.remainder(F.col("doc_id"), 5) != 0)
@@ -45,9 +63,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_source_mixing, op4_byte_bpe, op6_line_dedup, op9_quality, op10_token_counts)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_chroma, op2_language_id, op3_source_mixing, op4_byte_bpe, op5_license_scan, op6_line_dedup, op7_embedding_dedup, op8_ngram_join, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.SQL}
+    return {"op3_source_mixing": mixing.SQL, "op7_embedding_dedup": embedding_dedup.SQL}
