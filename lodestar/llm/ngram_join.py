@@ -263,7 +263,8 @@ def group_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
             r = pa.RecordBatch.from_arrays([b.column("cluster"), b.column("id"), pa.array(own, pa.list_(pa.int64()))], names=["cluster", "id", "own"])
             yield r.filter(pa.array(keep, pa.bool_()))
 
-    full = staged(rows.join(clusters, "id").select("cluster", "id", "x").mapInArrow(sets, "cluster bigint, id bigint, own array<bigint>"), "cluster-sets")
+    # Merged at every size, so that the plan is the same for a few clusters as for many.
+    full = staged(rows.join(clusters.hint("merge"), "id").select("cluster", "id", "x").mapInArrow(sets, "cluster bigint, id bigint, own array<bigint>"), "cluster-sets")
     links = _exact(full, num, den)
     linked = components(copies.unionByName(links)).withColumnsRenamed({"node": "id"})
     return docs.select("id", "n").join(linked, "id", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
