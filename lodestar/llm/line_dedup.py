@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import staged
+
 #: A chunk is one number: its first line times this, plus its number of lines.
 _BASE = 1 << 31
 
@@ -61,13 +63,14 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys(df.columns)))
     rows = df.select(whole.alias("row")).select(
-        "row", F.col(f"row.`{doc_id}`").alias("k1"), F.xxhash64(F.col(f"row.`{text}`")).alias("k2"), F.col(f"row.`{text}`").alias("x")
+        "row", F.col(f"row.`{doc_id}`").alias("k1"), F.xxhash64(F.col(f"row.`{text}`")).alias("k2")
     )
-    texts = rows.select("k1", "k2", "x").where(F.col("x").contains("\n"))
+    texts = rows.select("k1", "k2", F.col(f"row.`{text}`").alias("x")).where(F.col("x").contains("\n"))
     lined = texts.select("k1", "k2", F.transform(_lines(F.col("x")), lambda x: F.xxhash64(x)).alias("h"), chunk_codes(F.col("x")).alias("codes"))
     chunks = lined.select(
         "k1", "k2", F.explode(F.transform("codes", lambda c: F.struct(c.alias("code"), F.xxhash64(F.slice(F.col("h"), _start(c) + 1, _length(c))).alias("hash")))).alias("c")
     ).select("k1", "k2", "c.code", "c.hash")
+    chunks = staged(chunks, "line-chunks")
     place = F.struct(F.col("k1").isNull().alias("no_id"), "k1", "k2", "code")
     firsts = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
     later = chunks.join(firsts, "hash").where(place != F.col("first")).select("hash", "k1", "k2", "code")
@@ -76,12 +79,13 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     found = texts.join(wanted, same).select(F.explode(F.transform("wanted", lambda w: F.struct(w["hash"].alias("hash"), _chunk(_lines(F.col("x")), w["code"]).alias("own")))).alias("w"))
     originals = found.select("w.hash", "w.own").dropDuplicates(["hash"])
     gone = later.join(originals, "hash").groupBy(F.col("k1").alias("f1"), F.col("k2").alias("f2")).agg(F.collect_list(F.struct("code", "own")).alias("gone"))
-    lines = _lines(F.col("x"))
+    x = F.col(f"row.`{text}`")
+    lines = _lines(x)
     both = rows.join(gone, same, "left")
     equal = F.transform(F.filter("gone", lambda g: _chunk(lines, g["code"]) == g["own"]), lambda g: g["code"])
-    out = both.select("row", "x", F.when(F.col("gone").isNotNull(), equal).alias("drop"))
-    kept = F.array_join(F.transform(F.array_except(chunk_codes(F.col("x")), F.col("drop")), lambda c: _chunk(lines, c)), "\n")
-    fields = [F.col(f"row.`{c}`") if c != text else F.when(F.size("drop") > 0, kept).otherwise(F.col("x")).alias(c) for c in dict.fromkeys(df.columns) if c.lower() not in ("n_lines", "n_removed")]
-    n = F.when(F.col("x").isNull() | (F.col("x") == ""), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
+    out = both.select("row", F.when(F.col("gone").isNotNull(), equal).alias("drop"))
+    kept = F.array_join(F.transform(F.array_except(chunk_codes(x), F.col("drop")), lambda c: _chunk(lines, c)), "\n")
+    fields = [F.col(f"row.`{c}`") if c != text else F.when(F.size("drop") > 0, kept).otherwise(x).alias(c) for c in dict.fromkeys(df.columns) if c.lower() not in ("n_lines", "n_removed")]
+    n = F.when(x.isNull() | (x == ""), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
     removed = F.coalesce(F.aggregate("drop", F.lit(0).cast("long"), lambda s, c: s + _length(c)), F.lit(0).cast("long")).alias("n_removed")
     return out.select(*fields, n, removed)
