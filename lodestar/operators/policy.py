@@ -22,53 +22,65 @@ def checked_name(name: str, what: str = "name") -> str:
     return name
 
 
-def search_mode(n: int, k: int, filtered: int | None = None, indexed: bool = True) -> str:
-    """EXACT where the rows are few beside k, or the filter leaves few; else APPROXIMATE."""
-    left = n if filtered is None else filtered
-    if not indexed or n <= max(EXACT_ROWS, 32 * k):
-        return "EXACT"
-    if filtered is not None and (max(left, k) <= max(512, 40 * k) or left / n <= 0.12):
-        return "EXACT"
-    return "EXACT" if max(left, k) <= max(512, 40 * k) else "APPROXIMATE"
+def _doublings(n: int) -> int:
+    """The least power of two not below n, as its exponent."""
+    return max(0, max(1, n) - 1).bit_length()
 
 
-def beam_width(n: int, k: int, filtered: int | None = None) -> int:
-    ef = max(EF_LEAST, 6 * k) + 8 * math.ceil(math.log2(max(n, 2)))
-    if filtered is not None:
-        ef = min(ef, max(4 * k, filtered))
-    return min(EF_MOST, max(4 * k, ef))
-
-
-def rerank_size(candidates: int, k: int, share: float = 1.0) -> int:
-    times = min(8, 2 + math.ceil(math.log2(max(1.0, candidates / k))))
-    size = max(RERANK_LEAST, k * times) + (2 * k if share <= 0.35 else 0)
-    return max(k, min(RERANK_MOST, size, max(candidates, k)))
-
-
-def flush_bytes(base: int, mutations: int, tombstones: int, stale: int, dimension: int) -> int:
-    """The adaptive threshold: smaller when much of what is held is dead or replaced."""
-    share = tombstones / mutations if mutations else 0.0
-    part = 8 if share >= 0.5 else 4 if share >= 0.25 or stale >= STALE_FLUSH else 2 if mutations >= flush_mutations(dimension) // 2 else 1
-    return min(base, max(FLOOR_BYTES, base // part))
-
-
-def flush_mutations(dimension: int) -> int:
-    return 512 if 384 <= dimension < 1536 else 256
-
-
-def should_compact(segments: int, busy: bool, tombstone_debt: int, stale: int, live: int, persisted: int) -> bool:
+@dataclass(frozen=True)
+class SearchPlan:
+    mode: str
+    beam: int
+    rerank: int
+
+
+def plan_search(n: int, k: int, filtered: int | None = None, indexed: bool = True) -> SearchPlan:
+    """How to search n rows, of which filtered pass the filter: exactly where rows are few beside k or the filter leaves few.
+
+    The beam's ceiling comes last, so an approximate search gives at most EF_MOST rows.
+    """
+    k = max(1, k)
+    offered = n if filtered is None else filtered
+    left = max(offered, k)
+    share = left / n if n else 0.0
+    exact = not indexed or n <= max(EXACT_ROWS, 32 * k) or left <= max(512, 40 * k) or share <= 0.12
+    beam = max(EF_LEAST, 6 * k) + 8 * _doublings(n)
+    if 0 < offered < n:
+        beam = min(beam, max(4 * k, offered))
+    rerank = max(RERANK_LEAST, k * min(8, 2 + _doublings(left // k))) + (2 * k if share <= 0.35 else 0)
+    return SearchPlan("EXACT" if exact else "APPROXIMATE", min(EF_MOST, max(4 * k, beam)), max(k, min(RERANK_MOST, rerank)))
+
+
+def flush_mutations(dimension: int, held: int = 0, tombstones: int = 0, stale: int = 0) -> int:
+    """Mutations after which to flush: twice as many for middling dimensions, unless much of what is held is dead or replaced."""
+    calm = stale < 64 and not (held and 4 * tombstones >= held)
+    return 512 if 384 <= dimension < 1536 and calm else 256
+
+
+def flush_bytes(base: int, mutations: int, held: int, tombstones: int, stale: int, dimension: int) -> int:
+    """Bytes after which to flush: fewer the more of what is held is dead or replaced, at least FLOOR_BYTES, never over base."""
+    if not held:
+        return base
+    share = tombstones / held
+    half = mutations >= flush_mutations(dimension, held, tombstones, stale) // 2
+    part = 8 if share >= 0.5 else 4 if share >= 0.25 or stale >= STALE_FLUSH else 2 if half else 1
+    return min(base, max(FLOOR_BYTES, base // part)) if part > 1 else base
+
+
+def should_compact(segments: int, busy: bool, tombstone_debt: int, stale: int, live: int, tombstones: int) -> bool:
     if segments < 2 or busy:
         return False
-    return segments >= SEGMENTS_MOST or tombstone_debt >= DEBT or stale >= max(STALE_LEAST, live // 2) or (persisted > 0 and tombstone_debt / persisted >= TOMBSTONE_SHARE)
+    share = tombstones / (live + tombstones) if live + tombstones else 0.0
+    return segments >= SEGMENTS_MOST or tombstone_debt >= DEBT or stale >= max(STALE_LEAST, live // 2) or share >= TOMBSTONE_SHARE
 
 
 ROLES = {"READER": 0, "WRITER": 1, "ADMIN": 2}
 #: The least role of each call.
 NEEDS = {
-    "search": "READER", "stats": "READER", "list_collections": "READER", "get_collection": "READER", "list_tenants": "READER", "get_tenant": "READER",
-    "upsert": "WRITER", "partial_update": "WRITER", "delete": "WRITER",
-    "create_collection": "ADMIN", "flush": "ADMIN", "compact": "ADMIN", "backup": "ADMIN", "restore": "ADMIN", "snapshot_tenant": "ADMIN", "list_backups": "ADMIN", "metrics": "ADMIN",
-}
+    **dict.fromkeys(("search", "stats", "list_collections", "get_collection", "list_tenants", "get_tenant", "list_backups"), "READER"),
+    **dict.fromkeys(("create_collection", "upsert", "partial_update", "delete"), "WRITER"),
+    **dict.fromkeys(("metrics", "flush", "compact", "backup", "restore", "snapshot_tenant"), "ADMIN"),
+}
 
 
 def allowed(roles, call: str) -> bool:
