@@ -20,8 +20,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents that the compression classifier doesn't reject; it learns from labels whose crc32 mod 5 isn't 0."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     learn = labels.where(language_id.remainder(F.col("doc_id"), 5) != 0)
-    model = quality.fit(docs.select("doc_id", "text").join(learn, "doc_id"))
-    return _columns(quality.classify(docs, model).where("predicted = 1"))
+    return _columns(quality.classify(docs, quality.fit(docs, learn)).where("predicted = 1"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

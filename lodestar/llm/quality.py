@@ -77,22 +77,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(w[0] / scale), float(w[1])
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", rows_per_class: int = 1_500, dictionary_bytes: int = 112 << 10) -> CompressionClassifier:
-    """Learn from the rows with a label 0 (bad) or 1 (good).
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows_per_class: int = 1_500, dictionary_bytes: int = 112 << 10) -> CompressionClassifier:
+    """Learn from the texts of docs whose id has a label 0 (bad) or 1 (good) in labels.
 
-    The bound: about rows_per_class rows of each label, chosen by a hash of the text, are read. Half of them make the
-    dictionaries, the other half the calibration, weighted so that both labels count as in the whole of labelled. With
-    only one label, or none, every text scores the share of good labels (a half without labels).
+    The bound: about rows_per_class ids of each label, chosen by a hash of the id, 4 * rows_per_class in all at most. Only they are joined
+    with the texts, as a broadcast of that size. Half of them make the dictionaries, the other half the calibration, weighted so that
+    both labels count as in the whole of labels. With only one label, or none, every text scores the share of good labels (a half without labels).
     """
-    known = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull())
-    counts = {int(r[0]): r[1] for r in known.groupBy(label).count().collect()}
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
+    counts = {int(r[0]): r[1] for r in known.groupBy("y").count().collect()}
     total = sum(counts.values())
     prior = (counts.get(1, 0) + 0.5) / (total + 1)
     if len(counts) < 2:
         return CompressionClassifier(shift=math.log(prior / (1 - prior)))
-    place = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)) / float(1 << 20)
-    share = F.when(F.col(label) == 1, min(1.0, rows_per_class / counts[1])).otherwise(min(1.0, rows_per_class / counts[0]))
-    rows = known.where(place < share).select(F.col(label).cast("int").alias("y"), F.col(text).alias("x"), F.pmod(F.xxhash64(F.col(text), F.lit(1)), F.lit(2)).alias("half")).collect()
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
+    share = F.when(F.col("y") == 1, min(1.0, rows_per_class / counts[1])).otherwise(min(1.0, rows_per_class / counts[0]))
+    ids = known.where(place < share).distinct().orderBy(F.xxhash64("id"), "id", "y").limit(4 * rows_per_class)
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("x")).where("x IS NOT NULL").join(F.broadcast(ids), "id")
+    rows = own.groupBy("id", "y").agg(F.min("x").alias("x")).withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))).collect()
     rows = sorted(((r.half, r.y, r.x) for r in rows), key=lambda r: (r[0], r[1], r[2]))
     learn = {y: [x for h, own, x in rows if h == 0 and own == y] for y in (0, 1)}
     out = CompressionClassifier(_dictionary(learn[1], dictionary_bytes), _dictionary(learn[0], dictionary_bytes))

@@ -55,7 +55,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality")
     learn = labels.where(language_id.remainder(F.col("doc_id"), 5) != 0)
-    out = quality.classify(docs, quality.fit(docs.join(learn, "doc_id")), keep=["doc_id"])
+    out = quality.classify(docs, quality.fit(docs, learn), keep=["doc_id"])
     return out.select("doc_id", (language_id.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
