@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestar.llm.common import add_columns
+from lodestar.llm.common import add_columns, claim
 from lodestar.llm.pretokens import Pieces
 
 
@@ -161,6 +161,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] * digests
 
     def start():
+        claim("byte_bpe", _loaded.cache_clear)
         pieces, own, decimal = _loaded(path, pattern)
 
         def f(texts: pa.Array) -> list[pa.Array]:

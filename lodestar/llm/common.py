@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,6 +75,23 @@ def add_columns(
     return df.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, *inputs]))).mapInArrow(run, schema)
 
 
+_held: dict[str, Callable] = {}
+
+
+def claim(owner: str, release: Callable | None = None) -> None:
+    """Called by a task as it begins: what other operators keep in this Python worker for their next task goes.
+
+    Workers serve many stages, and their caches would add up. release frees what the owner is going to keep.
+    """
+    others_ = [name for name in _held if name != owner]
+    for name in others_:
+        _held.pop(name)()
+    if others_:
+        gc.collect()
+    if release is not None:
+        _held[owner] = release
+
+
 class Memo(dict):
     """make(key), remembered in two generations of at most limit entries each."""
 

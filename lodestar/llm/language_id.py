@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import add_columns
+from lodestar.llm.common import add_columns, claim
 from lodestar.llm.words import mixed
 
 #: Lengths of the character n-grams; a word's first and last n-gram hold one blank each.
@@ -190,6 +190,8 @@ def identify(df: DataFrame, model: LanguageFilters, text: str = "text", keep: li
     """
 
     def start():
+        claim("language_id")
+
         def f(texts: pa.Array) -> list[pa.Array]:
             names, score = model.decide(texts.to_pylist())
             return [pa.array(names, pa.string()), pa.array(score, pa.float64())]

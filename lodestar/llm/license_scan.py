@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from lodestar.llm.common import Memo
+from lodestar.llm.common import Memo, claim
 from lodestar.llm.words import shingles
 
 # Notices as their publishers word them.
@@ -137,6 +137,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: d
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches):
+        claim("license_scan")
         index, memo = Index(chosen), _memo()
         for b in batches:
             row, found = [], []

@@ -18,6 +18,8 @@ from lodestar.llm.words import WordHashes, shingles
 NARROW, WIDE = 64, 8192
 #: Rows of one tile, and the ones that every block of a larger cluster meets first.
 TILE, LEADERS = 2048, 16
+#: Texts whose sets a task holds at a time.
+ROWS = 500
 #: Shingles counted at a time when looking for frequent ones, and how many a task and the job report at most.
 COUNTED, TASK_FREQUENT, FREQUENT = 2_000_000, 20_000, 200_000
 
@@ -103,6 +105,12 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _edges(ids: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     away = ids != ids[labels]
     return ids[away], ids[labels][away]
@@ -166,7 +174,7 @@ def group_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
     def described(batches):
         hashes, seen = WordHashes(), set()
-        for b in batches:
+        for b in _sliced(batches):
             n, digest, prefix, bits = [], [], [], []
             for x, known in zip(b.column(1), b.column(0).is_valid().to_pylist()):
                 own = np.unique(shingles(hashes(x.as_py()), width))
@@ -253,7 +261,7 @@ def group_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
     def sets(batches):
         hashes, seen = WordHashes(), set()
-        for b in batches:
+        for b in _sliced(batches):
             own = [np.unique(shingles(hashes(x.as_py()), width)).view(np.int64) for x in b.column("x")]
             keep = []
             for c, o in zip(b.column("cluster").to_pylist(), own):

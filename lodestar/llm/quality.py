@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import add_columns
+from lodestar.llm.common import add_columns, claim
 
 #: Bytes compressed at a time. Each part meets the dictionary anew, so long texts don't outgrow it.
 PART = 1024
@@ -115,6 +115,8 @@ def classify(df: DataFrame, model: CompressionClassifier, text: str = "text", th
     """
 
     def start():
+        claim("quality")
+
         def f(texts: pa.Array) -> list[pa.Array]:
             score = [model.score(x.as_py()) for x in texts]
             return [pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())]

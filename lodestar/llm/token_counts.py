@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestar.llm.common import Memo, add_columns
+from lodestar.llm.common import Memo, add_columns, claim
 
 #: Fixed: the split of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -95,6 +95,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 512,
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
 
     def start():
+        claim("token_counts", counter.cache_clear)
         count = counter(path)
 
         def f(texts: pa.Array) -> list[pa.Array]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from lodestar.llm.common import Memo
+from lodestar.llm.common import Memo, claim
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -23,7 +23,8 @@ class WordHashes:
     """Texts to arrays of 64-bit word hashes. A-Z are lower-cased, and no other letters."""
 
     def __init__(self):
-        self.memo = Memo(xxhash.xxh64_intdigest)
+        claim("words")
+        self.memo = Memo(xxhash.xxh64_intdigest, limit=100_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
