@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def merge(base, patch):
@@ -29,7 +30,7 @@ def dumps(value) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def merged(base: pd.Series, patches: pd.Series) -> pd.Series:
     """The base payload under its patches (array<string>), in order; null patches leave it as it is."""
 

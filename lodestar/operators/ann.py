@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions.scoring import doubles, literal, score
 from lodestar.operators.policy import plan_search
@@ -78,7 +79,7 @@ def train(rows: DataFrame, dimension: int) -> list[np.ndarray]:
 def with_codes(rows: DataFrame, books: list[np.ndarray]) -> DataFrame:
     """rows and codes (array<tinyint>)."""
 
-    @F.pandas_udf("array<tinyint>")
+    @F.pandas_udf(T.ArrayType(T.ByteType()))
     def coded(v: pd.Series) -> pd.Series:
         return pd.Series(list(encode(np.array(v.tolist(), dtype=np.float64), books))) if len(v) else pd.Series([], dtype=object)
 

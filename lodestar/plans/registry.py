@@ -2,22 +2,334 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.payload import footprint, merged
+from lodestar.functions.scoring import doubles, literal, score
+from lodestar.operators import ann, policy, state
+from lodestar.operators.filters import Columns, FilterBuilder, Payload, compile_filter
+from lodestar.operators.search import knn
+from lodestar.sources import codecs
 
+QUERIES, SQL = {}, {}
+
+_V = "embedding::DOUBLE[]"
+_Q = f"(SELECT {_V} FROM embeddings WHERE vec_id = 0)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _query_vector(spark, sf_dir, vec_id=0):
+    return [float(x) for x in _t(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]]
+
+
+def _scored(spark, sf_dir, metric, where=None):
+    """Query vector as a literal: its norm folds, and the scan reads the columns of the filter and the score alone."""
+    v = _t(spark, sf_dir, "embeddings")
+    v = v if where is None else v.where(compile_filter(where, Columns(v.schema), "strict"))
+    s = F.round(score(metric, literal(_query_vector(spark, sf_dir)), doubles(F.col("embedding"))), 6)
+    return v.select("vec_id", s.alias("score"))
+
+
+def _best(rows, k=10):
+    return rows.orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+def _topk_sql(where="true", k=10):
+    return f"SELECT vec_id, round(list_cosine_similarity({_V}, {_Q}), 6) AS score FROM embeddings WHERE {where} ORDER BY score DESC, vec_id LIMIT {k}"
+
+
+@query(_topk_sql())
 def cosine_topk(spark, sf_dir):
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = v.where("vec_id = 0").select(F.col("v").alias("q"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    score = dot(F.col("q"), F.col("v")) / (F.sqrt(dot(F.col("q"), F.col("q"))) * F.sqrt(dot(F.col("v"), F.col("v"))))
-    return v.crossJoin(F.broadcast(q)).select("vec_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    return _best(_scored(spark, sf_dir, "COSINE"))
+
+
+@query(f"SELECT vec_id, round(-list_sum(list_transform(list_zip({_V}, {_Q}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) + 0.0, 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+def l2_topk(spark, sf_dir):
+    return _best(_scored(spark, sf_dir, "L2"))
+
+
+@query("SELECT vec_id, 0.0::DOUBLE AS score FROM embeddings WHERE label = 3")
+def cosine_zero_norm(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings").where("label = 3")
+    return v.select("vec_id", score("COSINE", literal([0.0] * 64), doubles(F.col("embedding"))).alias("score"))
+
+
+FILTERS = {
+    "topk_filter_eq": ({"label": 3}, "label = 3"),
+    "topk_filter_in": (FilterBuilder().is_in("label", [1, 4, 7]).build(), "label IN (1, 4, 7)"),
+    "topk_filter_range": (FilterBuilder().between("label", gte=2, lt=5).build(), "label >= 2 AND label < 5"),
+    "topk_filter_and": (FilterBuilder().between("label", gt=1).between("vec_id", lte=250).build(), "label > 1 AND vec_id <= 250"),
+    "topk_filter_or": ({"$or": [{"label": 0}, {"vec_id": {"$lt": 40}}]}, "label = 0 OR vec_id < 40"),
+    "topk_filter_not": ({"$not": {"label": {"$in": [0, 1, 2, 3]}}}, "NOT coalesce(label IN (0, 1, 2, 3), false)"),
+}
+for _name, (_spec, _where) in FILTERS.items():
+    QUERIES[_name] = lambda spark, sf_dir, spec=_spec: _best(_scored(spark, sf_dir, "COSINE", spec))
+    SQL[_name] = _topk_sql(_where)
+
+
+@query("SELECT doc_id FROM documents WHERE list_contains(string_split(text, ' '), 'the')")
+def filter_contains_list(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("words"))
+    return d.where(compile_filter({"words": {"$contains": "the"}}, Columns(d.schema))).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'Licensed under')")
+def filter_substring_strict(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.where(compile_filter({"text": {"$contains": "Licensed under"}}, Columns(d.schema), "strict")).select("doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang >= 'en' AND lang < 'fr'")
+def filter_string_range(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.where(compile_filter({"lang": {"$gte": "en", "$lt": "fr"}}, Columns(d.schema))).select("doc_id", "lang")
+
+
+def _props(spark, sf_dir, text="props"):
+    return _t(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("v"))
+
+
+@query("SELECT event_id FROM events WHERE coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE) >= 90, false)")
+def filter_json_range(spark, sf_dir):
+    return _props(spark, sf_dir).where(compile_filter({"k": {"$gte": 90}}, Payload(F.col("v")))).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE) IN (7, 69), false)")
+def filter_json_nested(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", F.parse_json(F.concat(F.lit('{"meta":'), "props", F.lit("}"))).alias("v"))
+    return e.where(compile_filter({"meta": {"k": {"$in": [7, 69]}}}, Payload(F.col("v")))).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 3 = 0")
+def filter_json_null(spark, sf_dir):
+    text = F.when(F.col("event_id") % 3 == 0, '{"k":null}').when(F.col("event_id") % 3 == 1, "{}").otherwise(F.col("props"))
+    e = _t(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("v"))
+    return e.where(compile_filter({"k": None}, Payload(F.col("v")))).select("event_id")
+
+
+_ORDERED = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events"
+
+
+def _mutations(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("id"), F.col("event_id").alias("sequence"), "event_type", "value", (F.col("event_type") == "error").alias("tombstone"))
+
+
+@query(f"SELECT user_id AS id, event_id AS sequence, event_type, value, event_type = 'error' AS tombstone FROM ({_ORDERED}) WHERE rn = 1")
+def latest_state(spark, sf_dir):
+    return state.latest(_mutations(spark, sf_dir))
+
+
+@query(f"SELECT user_id AS id, event_id AS sequence, event_type, value FROM ({_ORDERED}) WHERE rn = 1 AND event_type <> 'error'")
+def live_only(spark, sf_dir):
+    return state.live(state.latest(_mutations(spark, sf_dir)))
+
+
+@query(f"SELECT count(*) FILTER (event_type <> 'error') AS live_vector_count, count(*) FILTER (event_type = 'error') AS tombstone_count FROM ({_ORDERED}) WHERE rn = 1")
+def tombstone_count(spark, sf_dir):
+    return state.counters(state.latest(_mutations(spark, sf_dir)))
+
+
+@query(f"SELECT event_id // 2500 AS generation, user_id AS id, event_id AS sequence FROM ({_ORDERED}) WHERE rn = 1 AND event_type <> 'error'")
+def compact_live_versions(spark, sf_dir):
+    """Entries of four generations whose sequence is the latest live one."""
+    log = _mutations(spark, sf_dir)
+    alive = state.live(state.latest(log)).select("id", "sequence")
+    return log.select(F.floor(F.col("sequence") / 2500).alias("generation"), "id", "sequence").join(alive, ["id", "sequence"], "left_semi").select("generation", "id", "sequence")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0)")
+def delete_apply(spark, sf_dir):
+    gone = _t(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    return _t(spark, sf_dir, "orders").join(gone, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_custkey AS id, max(o_orderkey) AS sequence, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY o_custkey")
+def upsert_lastwins(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("sequence"), F.col("o_totalprice").alias("price"))
+    return state.latest(o)
+
+
+@query(f"SELECT count(*) AS additional_live FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT user_id FROM ({_ORDERED}) WHERE rn = 1 AND event_type <> 'error')")
+def additional_live(spark, sf_dir):
+    return state.additional_live(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), state.live(state.latest(_mutations(spark, sf_dir))))
+
+
+@query("""SELECT user_id AS id, arg_max(json_extract_string(props, '$.k')::BIGINT, event_id) AS k, arg_max(event_type, event_id) AS kind, count(*) AS n FROM events GROUP BY user_id""")
+def patch_fold(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    patch = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), F.struct(F.col("event_type").alias("kind")).alias("meta")))
+    folded = e.groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("event_id", patch.alias("p")))).alias("p"))
+    out = F.parse_json(merged(F.lit('{"meta":{"kind":"none","old":1},"k":0}'), F.col("p.p")))
+    return folded.select("id", F.variant_get(out, "$.k", "bigint").alias("k"), F.variant_get(out, "$.meta.kind", "string").alias("kind"), F.size("p").cast("long").alias("n"))
+
+
+def _knn(spark, sf_dir, on=None):
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    q = v.where("id < 20").withColumnRenamed("id", "query_id")
+    return knn(q, v, 5, on=on)
+
+
+_KNN = f"""SELECT query_id, id, score, rn AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (
+    SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.{_V}, v.{_V}), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id < 20 AND %s)) WHERE rn <= 5"""
+
+
+@query(_KNN % "true")
+def knn_batch(spark, sf_dir):
+    return _knn(spark, sf_dir)
+
+
+@query(_KNN % "q.label = v.label")
+def knn_by_label(spark, sf_dir):
+    return _knn(spark, sf_dir, "label")
+
+
+@query(_topk_sql())
+def topk_merge_segments(spark, sf_dir):
+    """The best of each of four segments, then of these."""
+    s = _scored(spark, sf_dir, "COSINE").withColumn("segment", F.pmod("vec_id", F.lit(4)))
+    place = F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("score"), "vec_id"))
+    return _best(s.withColumn("place", place).where("place <= 10").select("vec_id", "score"))
+
+
+def _log(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings")
+    n = F.sqrt(F.aggregate(doubles(F.col("embedding")), F.lit(0.0), lambda s, x: s + x * x)).cast("float")
+    return v.select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("sequence"), F.col("embedding").alias("vector"), n.alias("norm"), F.to_json(F.struct("label")).alias("payload"))
+
+
+@query()
+def pq_encode_adc(spark, sf_dir):
+    rows = _log(spark, sf_dir)
+    books, q = ann.train(rows, 64), np.array(_query_vector(spark, sf_dir))
+    s = ann.quantized_score(F.col("codes"), ann.lookup(q, books, "COSINE"), F.col("norm"), float(np.linalg.norm(q)), "COSINE")
+    return ann.with_codes(rows, books).select("id", "codes", F.round(s, 6).alias("approx"))
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    rows = _log(spark, sf_dir)
+    books = ann.train(rows, 64)
+    found = ann.ann_topk(ann.with_codes(rows, books), _query_vector(spark, sf_dir), 10, "COSINE", books, rows.count())
+    return found.select("id", F.round("score", 6).alias("score"), "sequence")
+
+
+@query()
+def ann_graph_topk(spark, sf_dir):
+    rows = _log(spark, sf_dir)
+    books = ann.train(rows, 64)
+    found = ann.ann_topk(rows, _query_vector(spark, sf_dir), 10, "COSINE", books, rows.count(), graph=True)
+    return found.select("id", F.round("score", 6).alias("score"), "sequence")
+
+
+@query("""SELECT n, k, CASE WHEN n <= greatest(256, 32 * k) OR greatest(n, k) <= greatest(512, 40 * k) OR greatest(n, k) / n <= 0.12 THEN 'EXACT' ELSE 'APPROXIMATE' END AS mode
+FROM (VALUES (100), (300), (500), (513), (2000), (100000)) a(n), (VALUES (1), (10), (50), (100)) b(k)""")
+def mode_planner(spark, sf_dir):
+    grid = [(n, k, policy.plan_search(n, k).mode) for n in (100, 300, 500, 513, 2000, 100000) for k in (1, 10, 50, 100)]
+    return spark.createDataFrame(grid, "n int, k int, mode string")
+
+
+@query(f"""SELECT event_type AS collection, count(*) FILTER (rn = 1) AS live, count(*) AS entries, count(DISTINCT event_id // 2500) AS segments
+FROM ({_ORDERED}) GROUP BY event_type""")
+def collection_stats(spark, sf_dir):
+    newest = F.max("event_id").over(Window.partitionBy("user_id"))
+    e = _t(spark, sf_dir, "events").withColumn("newest", newest)
+    return e.groupBy(F.col("event_type").alias("collection")).agg(F.count_if(F.col("event_id") == F.col("newest")).alias("live"), F.count("*").alias("entries"), F.countDistinct(F.floor(F.col("event_id") / 2500)).alias("segments"))
+
+
+@query("SELECT n_name AS tenant_id, count(*) AS collection_count, sum(c_custkey)::BIGINT AS storage, max(c_custkey) AS last_created FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def tenant_stats(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("tenant_id"))
+    c = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("collection_count"), F.sum("c_custkey").alias("storage"), F.max("c_custkey").alias("last_created"))
+    return c.join(n, "c_nationkey").drop("c_nationkey")
+
+
+@query("SELECT n_name AS tenant_id FROM nation UNION SELECT r_name FROM region")
+def tenant_listing(spark, sf_dir):
+    configured = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("tenant_id"))
+    return configured.union(_t(spark, sf_dir, "region").select("r_name")).distinct().orderBy("tenant_id")
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS most FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf_dir):
+    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"), disc(0.99).alias("p99"), F.max("value").alias("most"))
+
+
+BUCKETS = (5, 10, 25, 50, 100, 250)
+
+
+@query(f"SELECT event_type, {', '.join(f'count(*) FILTER (value <= {b}) AS le_{b}' for b in BUCKETS)}, count(*) AS n FROM events GROUP BY event_type")
+def histogram_buckets(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(*(F.count_if(F.col("value") <= b).alias(f"le_{b}") for b in BUCKETS), F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS status, count(*) AS n, round(count(*) / 60.0, 6) AS qps FROM events GROUP BY event_type")
+def status_distribution(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.round(F.count("*") / 60.0, 6).alias("qps"))
+
+
+@query("SELECT lang, arg_max(doc_id, n_chars * 1000000 - doc_id) AS best, max(n_chars) AS most FROM documents GROUP BY lang")
+def best_scenario(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.groupBy("lang").agg(F.max_by("doc_id", F.col("n_chars") * 1000000 - F.col("doc_id")).alias("best"), F.max("n_chars").alias("most"))
+
+
+@query("SELECT doc_id, octet_length(encode(doc_id::VARCHAR)) + octet_length(encode(text)) + 4 * 64 + 4 AS bytes FROM documents")
+def footprint_estimate(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", footprint(F.col("doc_id").cast("string"), F.col("text"), F.lit(64)).alias("bytes"))
+
+
+@query("SELECT o_custkey AS tenant_id, o_orderkey AS backup_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn > 3")
+def retention_prune(spark, sf_dir):
+    from lodestar.plans.collections import retained
+
+    b = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("tenant_id"), F.lit("x").alias("name"), F.col("o_orderkey").alias("backup_id"), F.col("o_orderdate").alias("created_at"))
+    return retained(b, 3).select("tenant_id", "backup_id")
+
+
+_ROUNDTRIP = "SELECT vec_id::VARCHAR AS id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total, label FROM embeddings"
+
+
+def _checked(rows):
+    total = F.aggregate(doubles(F.col("vector")), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("id", F.size("vector").cast("long").alias("n"), F.round(total, 4).alias("total"), F.get_json_object("payload", "$.label").cast("int").alias("label"))
+
+
+@query(_ROUNDTRIP)
+def ndjson_roundtrip(spark, sf_dir):
+    return _checked(codecs.parse_lines(codecs.to_lines(_log(spark, sf_dir))))
+
+
+@query(_ROUNDTRIP)
+def binary_roundtrip(spark, sf_dir):
+    return _checked(codecs.decode_rows(codecs.encode_partitions(_log(spark, sf_dir), 64), 64))
+
+
+@query("SELECT ((i * 7) % 128)::INT AS slot, count(*) AS n FROM range(5000) t(i) GROUP BY 1")
+def synthetic_payloads(spark, sf_dir):
+    return spark.range(5000).groupBy(((F.col("id") * 7) % 128).cast("int").alias("slot")).agg(F.count("*").alias("n"))
 
 
 def queries():
-    return {"cosine_topk": cosine_topk}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {"cosine_topk": """
-        SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score
-        FROM embeddings ORDER BY score DESC, vec_id LIMIT 10"""}
+    return dict(SQL)
