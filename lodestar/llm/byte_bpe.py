@@ -97,7 +97,7 @@ class Merges:
         if not piece:
             return []
         greedy = [token for _, token in longest(read)]
-        for pair in zip(greedy, greedy[1:]):
+        for k, pair in enumerate(zip(greedy, greedy[1:]), 1):
             known = pairs.get(pair)
             if not (self._compatible(*pair) if known is None else known):
                 break
@@ -108,8 +108,8 @@ class Merges:
             at[pos] = token
             pos += sizes[token]
         dead: set[int] = set()
-        out: list[int] = []
-        pos, token = 0, greedy[0]
+        out = greedy[:k]  # these fit; the next is tried again, and shorter
+        pos, token = sum(sizes[t] for t in out), greedy[k]
         while True:
             if token is None:  # nothing leads on from here: the token that led here must be shorter
                 dead.add(pos)

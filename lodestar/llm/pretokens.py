@@ -22,12 +22,15 @@ class Pieces:
     def __init__(self, pattern: str, encode: Callable[[str], Sequence]):
         """encode: a pre-token's values."""
         self.find = regex.compile(pattern).findall
-        self.token = Memo(encode)
+        self.encode = encode
+        self.token = Memo(encode, limit=100_000)
         self.piece = Memo(self._piece)
 
     def _piece(self, piece: str) -> Sequence | bool:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return False
+        if piece.isalpha() and max(piece) < "\u0500":  # letters alone, in any version of Unicode: one pre-token
+            return tuple(self.encode(" " + piece))
         return self._matched(" " + piece)
 
     def _matched(self, text: str) -> tuple:
