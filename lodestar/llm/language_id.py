@@ -145,8 +145,8 @@ def fit(
 ) -> LanguageFilters:
     """Learn each language's n-grams from the rows with a text and a language.
 
-    The bound: about rows_per_language rows of each language, chosen by a hash of the text, are read whole. A language
-    has the n-grams that at least least_share of its sampled rows hold (two rows at least, unless it has fewer than ten), which bounds
+    The bound: about rows_per_language different texts of each language at most, chosen by a hash of the text, are read whole. A language
+    has the n-grams that at least least_share of its sampled texts hold (two at least, unless it has fewer than ten), which bounds
     what reaches the driver by the mean number of n-grams of a text over least_share. No rows: no languages.
     """
     known = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
@@ -155,7 +155,8 @@ def fit(
         return LanguageFilters([], np.zeros(bits, dtype=np.uint8), hashes)
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows_per_language / n))))
     place = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.where(place < share[F.col(lang).cast("string")]).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    # The hash takes all copies of a text or none; one of them stays, so that a large group of copies doesn't pass the bound.
+    sample = known.where(place < share[F.col(lang).cast("string")]).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).distinct()
 
     def grams(batches):
         seen: dict[str, list[np.ndarray]] = {}
