@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,10 +60,10 @@ class Files:
         stream = fs.create(tmp, True)
         stream.write(bytearray(json.dumps(value).encode()))
         stream.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(tmp, p):
-            raise OSError(f"can't write {path}")
+        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE  # in one step: at no time is there no file
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, p, how)
 
     def names(self, path: str) -> list[str]:
         fs, p = self._at(path)
@@ -89,11 +90,11 @@ class Files:
 class Collection:
     """One collection. Each change writes a batch, then commits it by replacing the manifest; readers see committed batches only."""
 
-    def __init__(self, db: Database, tenant: str, name: str):
+    def __init__(self, db: Database, tenant: str, name: str, path: str | None = None):
         self.db, self.tenant, self.name, self.spark = db, tenant, name, db.spark
-        self.path = db.path(tenant, name)
+        self.path = path or db.path(tenant, name)
         self.cache = QueryCache()
-        self.index: tuple | None = None
+        self.last_search: dict = {}
 
     @property
     def manifest(self) -> dict:
@@ -207,26 +208,47 @@ class Collection:
             raise DimensionError(f"a query of {len(vector)} for vectors of {m['dimension']}")
         key = (tuple(vector), k, json.dumps(where, sort_keys=True), mode, approximate)
 
+        began, self.last_search = time.time(), {"mode": "EXACT", "top_k": k}
+
         def make():
-            rows = self.live()
-            match = compile_filter(where, Payload(F.parse_json("payload")), mode) if where else None
             if approximate:
-                n = rows.count()
+                rows, books, n = self.indexed()
+                match = compile_filter(where, Payload(F.parse_json("payload")), mode) if where else None
                 left = rows.where(match).count() if match is not None else None
-                if policy.plan_search(n, k, left, n > policy.ANN_LEAST_ROWS).mode == "APPROXIMATE":
-                    books = self.codebooks()
-                    found = ann.ann_topk(ann.with_codes(rows, books), vector, k, m["metric"], books, n, match, left)
-                    return [r.asDict() for r in found.collect()]
+                plan = policy.plan_search(n, k, left, n > policy.ANN_LEAST_ROWS)
+                self.last_search |= {"mode": plan.mode, "total": n, "filtered": n if left is None else left, "beam": plan.beam, "rerank": plan.rerank}
+                if plan.mode == "APPROXIMATE":
+                    return [r.asDict() for r in ann.ann_topk(rows, vector, k, m["metric"], books, n, match, left).collect()]
+            rows = self.live()
+            match = compile_filter(where, Payload(F.parse_json("payload")), mode) if where else None
             return [r.asDict() for r in topk(rows, vector, k, m["metric"], match, m["dimension"]).collect()]
 
-        return self.cache.get(m["version"], key, make)[0]
-
-    def codebooks(self):
-        """Of this version of the collection; trained once."""
-        m = self.manifest
-        if self.index is None or self.index[0] != m["version"]:
-            self.index = m["version"], ann.train(self.live().select("sequence", "vector"), m["dimension"])
-        return self.index[1]
+        found, hit = self.cache.get(m["version"], key, make)
+        took = time.time() - began
+        self.last_search |= {"cache_hit": hit, "seconds": took, "slow": policy.is_slow(took)}
+        return found
+
+    def indexed(self) -> tuple[DataFrame, list, int]:
+        """Live rows with codes, codebooks and number of rows of this version; written once, and again where what is there doesn't fit."""
+        m, files = self.manifest, self.db.files
+        path = f"{self.path}/index/{m['version']:020d}"
+        made = files.read(f"{path}/index.json")
+        if made is None or (made["dimension"], made["metric"]) != (m["dimension"], m["metric"]):
+            self.evict()
+            self.live().write.parquet(f"{path}/live")  # folded once, read by every round of training
+            rows = self.spark.read.parquet(f"{path}/live")
+            books = ann.train(rows.select("sequence", "vector"), m["dimension"])
+            (ann.with_codes(rows, books) if books else rows.withColumn("codes", F.lit(None).cast("array<tinyint>"))).write.parquet(f"{path}/rows")
+            made = {"dimension": m["dimension"], "metric": m["metric"], "count": rows.count(), "books": [b.tolist() for b in books]}
+            files.delete(f"{path}/live")
+            files.write(f"{path}/index.json", made)
+        return self.spark.read.parquet(f"{path}/rows"), [np.array(b) for b in made["books"]], made["count"]
+
+    def warm(self) -> None:
+        self.indexed()
+
+    def evict(self) -> None:
+        self.db.files.delete(f"{self.path}/index")
 
     def _write_generation(self, rows: DataFrame, m: dict) -> str | None:
         name = f"generations/{m['next_generation']:020d}"
@@ -349,7 +371,7 @@ class Database:
         if self.files.exists(target):
             raise ValidationError(f"backup {backup_id} exists already")
         self.files.copy(c.path, f"{target}/data")
-        made = {"backup_id": backup_id, "tenant_id": tenant, "name": name, "created_at": time.time(), "stats": c.stats()}
+        made = {"backup_id": backup_id, "tenant_id": tenant, "name": name, "created_at": time.time(), "sequence": c.manifest["sequence"], "stats": c.stats()}
         self.files.write(f"{target}/backup.json", made)
         return made
 
@@ -359,6 +381,13 @@ class Database:
         found = [self.files.read(f"{root}/{t}/{n}/{b}/backup.json") for t in self.files.names(root) if tenant in (None, t) for n in self.files.names(f"{root}/{t}") for b in self.files.names(f"{root}/{t}/{n}") if backup_id in (None, b)]
         return sorted((x for x in found if x), key=lambda x: (-x["created_at"], x["tenant_id"], x["name"]))
 
+    def preview(self, name: str, backup_id: str, tenant: str = policy.DEFAULT_TENANT) -> dict:
+        """Stats of a backup, folded from its own files without restoring it."""
+        data = f"{self.root}/backups/{policy.checked_name(tenant)}/{policy.checked_name(name)}/{policy.checked_name(backup_id, 'backup')}/data"
+        if not self.files.exists(data):
+            raise NotFound(f"no backup {backup_id} of {name}")
+        return Collection(self, tenant, name, data).stats()
+
     def restore(self, name: str, backup_id: str, target: str, tenant: str = policy.DEFAULT_TENANT) -> Collection:
         source = f"{self.root}/backups/{policy.checked_name(tenant)}/{policy.checked_name(name)}/{policy.checked_name(backup_id, 'backup')}/data"
         if not self.files.exists(source):
@@ -382,6 +411,18 @@ class Database:
             raise
         return done
 
+    def scheduled_snapshot(self, tenant: str, keep: int) -> list[str]:
+        """Back up the collections that changed since their last automatic backup, then keep the newest of these; the new ids."""
+        done = []
+        for c in self.collections(tenant):
+            prefix = f"auto-{tenant}-{c.name}-"
+            last = next((b for b in self.backups(tenant) if b["name"] == c.name and b["backup_id"].startswith(prefix)), None)
+            if last is None or last["sequence"] != c.manifest["sequence"]:
+                c.flush()
+                done.append(self.backup(c.name, prefix + time.strftime("%Y%m%d%H%M%S", time.gmtime()), tenant)["backup_id"])
+                self.prune_backups(tenant, c.name, keep)
+        return done
+
     def prune_backups(self, tenant: str, name: str, keep: int) -> list[str]:
         """Delete all but the newest keep automatic backups; their ids."""
         old = [b for b in self.backups(tenant) if b["name"] == name and b["backup_id"].startswith(f"auto-{tenant}-{name}-")][keep:]

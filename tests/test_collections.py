@@ -133,3 +133,46 @@ def test_codecs():
     assert [r["id"] for r in decode_json_lines('{"id":"a"}\n\n{"id":"b"}')] == ["a", "b"]
     with pytest.raises(CodecError, match="line 2"):
         decode_json_lines('{"id":"a"}\n{')
+
+
+def test_index_files_are_reused_and_rebuilt(spark, db):
+    c = db.create("many", 8)
+    rows = spark.range(900).selectExpr("cast(id as string) id", "transform(sequence(0, 7), i -> cast(pmod(hash(id, i), 1000) / 500.0 - 1 as float)) vector", "to_json(named_struct('k', id % 2)) payload")
+    c.upsert(rows)
+    q = [float(x) for x in rows.where("id = '17'").first().vector]
+    assert ids(c.search(q, 1, approximate=True)) == ["17"] and c.last_search["mode"] == "APPROXIMATE" and not c.last_search["cache_hit"]
+    made = db.files.names(f"{c.path}/index")
+    assert ids(db.open("many").search(q, 1, {"k": 1}, approximate=True)) == ["17"] and db.files.names(f"{c.path}/index") == made
+    assert ids(c.search(q, 1, approximate=True)) == ["17"] and c.last_search["cache_hit"]
+    c.delete(["17"])
+    assert ids(c.search(q, 1, approximate=True)) != ["17"] and len(db.files.names(f"{c.path}/index")) == 1
+    c.evict()
+    assert not db.files.exists(f"{c.path}/index")
+
+
+def test_preview_scheduled_snapshots_and_reports(spark, db):
+    from lodestar.plans.service import AuditLog, metric_lines, scrape
+
+    c = db.create("docs", 2, tenant="t")
+    c.upsert_records([rec("a", [1, 0]), rec("b", [0, 1])])
+    (made,) = db.scheduled_snapshot("t", 1)
+    c.delete(["a"])
+    assert db.preview("docs", made, "t")["live_vector_count"] == 2 and c.stats()["live_vector_count"] == 1
+    assert not [b for b in db.backups("t") if b["backup_id"] != made]
+    with pytest.raises(NotFound):
+        db.preview("docs", "missing", "t")
+    db.restore("docs", made, "again", "t")
+    text = scrape(db, "t")
+    assert 'lodestar_collection_live_vector_count{tenant="t",collection="docs"} 1' in text and len(metric_lines(text, "again")) == 4
+    log = AuditLog(db)
+    assert log.rows().count() == 0
+    log.record("ann", ["READER"], "POST", "/search", 200)
+    log.record("bob", ["ADMIN", "WRITER"], "POST", "/flush", 403, "10.0.0.1", "x")
+    log.flush()
+    log.record("ann", ["READER"], "GET", "/stats", 200)
+    assert [(r.principal, r.status, r.roles) for r in log.rows().orderBy("timestamp").collect()][1:] == [("bob", 403, ["ADMIN", "WRITER"]), ("ann", 200, ["READER"])]
+
+
+def test_unchanged_collections_are_not_backed_up_again(db):
+    db.create("docs", 2, tenant="s").upsert_records([rec("a", [1, 0])])
+    assert len(db.scheduled_snapshot("s", 2)) == 1 and db.scheduled_snapshot("s", 2) == []
