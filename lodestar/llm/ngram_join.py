@@ -341,3 +341,21 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **option
     """df without the documents that link, also by way of others, to a smaller id. Rows with a null id stay; rows with the kept id all stay."""
     found = group_similar(df, doc_id, text, **options).where(F.col("component_id") != F.col(doc_id)).select(F.col(doc_id).alias("__gone")).distinct()
     return df.join(found, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti").select(*(F.col(f"`{c}`") for c in others(df)))
+
+
+#: The contract's query for DuckDB: links by counting the common shingles of all pairs that have any, groups by handing smaller ids on.
+SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM worded),
+sized AS MATERIALIZED (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+postings AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM postings a JOIN postings b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT c.a, c.b FROM common c JOIN sized x ON c.a = x.doc_id JOIN sized y ON c.b = y.doc_id WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(id, c) AS (SELECT doc_id, doc_id FROM sized UNION SELECT e.b, r.c FROM reached r JOIN edges e ON e.a = r.id WHERE r.c < e.b)
+SELECT s.doc_id, s.n AS n_shingles, min(r.c) AS component_id FROM sized s JOIN reached r ON s.doc_id = r.id GROUP BY s.doc_id, s.n
+"""

@@ -74,4 +74,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.SQL, "op7_embedding_dedup": embedding_dedup.SQL}
+    return {"op3_source_mixing": mixing.SQL, "op7_embedding_dedup": embedding_dedup.SQL, "op8_ngram_join": ngram_join.SQL}
