@@ -83,7 +83,8 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     lines = _lines(x)
     both = rows.join(gone, same, "left")
     equal = F.transform(F.filter("gone", lambda g: _chunk(lines, g["code"]) == g["own"]), lambda g: g["code"])
-    out = both.select("row", F.when(F.col("gone").isNotNull(), equal).alias("drop"))
+    # Rows alike in id and text name their chunks once each.
+    out = both.select("row", F.when(F.col("gone").isNotNull(), F.array_distinct(equal)).alias("drop"))
     kept = F.array_join(F.transform(F.array_except(chunk_codes(x), F.col("drop")), lambda c: _chunk(lines, c)), "\n")
     fields = [F.col(f"row.`{c}`") if c != text else F.when(F.size("drop") > 0, kept).otherwise(x).alias(c) for c in dict.fromkeys(df.columns) if c.lower() not in ("n_lines", "n_removed")]
     n = F.when(x.isNull() | (x == ""), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")

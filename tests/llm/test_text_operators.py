@@ -138,6 +138,18 @@ def test_line_dedup_against_brute_force(spark):
     assert {x.doc_id: x.text for x in out.collect()} == want
     assert out.agg(F.sum("n_removed")).first()[0] > 200
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
+    assert all(x.n_removed == len((x.text0 or "").split("\n")) - (len(x.text.split("\n")) if x.text else 0) for x in out.join(df.select("doc_id", F.col("text").alias("text0")), "doc_id").where("n_removed > 0").collect())
+
+
+def test_line_dedup_of_repeated_rows_and_nulls(spark):
+    first, tail = "\n".join(f"shared {k}" for k in range(40)), "\nown a\nown b"
+    rows = [(1, first), (2, first + tail), (2, first + tail), (2, first + tail), (None, first + tail), (None, None)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    twos = [x for x in out if x.doc_id == 2]
+    assert next(x.text for x in out if x.doc_id == 1) == first and len(twos) == 3 and len(set(twos)) == 1
+    assert twos[0].n_removed == 42 - len(twos[0].text.split("\n")) > 20
+    gone = next(x for x in out if x.doc_id is None and x.text is not None)
+    assert gone.text == "" and gone.n_removed == 42
 
 
 def test_license_spans(spark):
