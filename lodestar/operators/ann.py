@@ -21,9 +21,9 @@ LINKS, BASE_LINKS, BUILD_BEAM, LEVELS, SEED = 8, 16, 64, 7, 7337331
 SHARD_ROWS = 20_000
 
 
-def subspaces(dimension: int) -> list[tuple[int, int]]:
-    """At most four runs of components, the first ones longer by one where they don't come out even."""
-    n = min(SUBSPACES, dimension)
+def subspaces(dimension: int, most: int = SUBSPACES) -> list[tuple[int, int]]:
+    """At most so many runs of components, the first ones longer by one where they don't come out even."""
+    n = min(most, dimension)
     sizes = [dimension // n + (i < dimension % n) for i in range(n)]
     ends = np.cumsum(sizes).tolist()
     return list(zip([0, *ends[:-1]], ends))
@@ -32,15 +32,16 @@ def subspaces(dimension: int) -> list[tuple[int, int]]:
 def encode(x: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
     """The nearest centroid (the lowest at ties) of each row in each subspace."""
     out = np.empty((len(x), len(books)), np.int8)
-    for s, ((a, b), book) in enumerate(zip(subspaces(x.shape[1]), books)):
+    for s, ((a, b), book) in enumerate(zip(subspaces(x.shape[1], len(books)), books)):
         out[:, s] = ((x[:, None, a:b] - book[None]) ** 2).sum(axis=2).argmin(axis=1)
     return out
 
 
-def train(rows: DataFrame, dimension: int) -> list[np.ndarray]:
+def train(rows: DataFrame, dimension: int, most: int = SUBSPACES) -> list[np.ndarray]:
     """Codebooks of (sequence, vector): begun at rows evenly apart in order of sequence, then Lloyd rounds over all rows.
 
-    A round is one pass of partial sums; the codebooks alone reach the driver. An empty cell keeps its centroid.
+    A round is one pass of partial sums; the codebooks alone reach the driver. An empty cell keeps its centroid. most is the
+    number of subspaces: with more, codes are longer and say more.
     """
     n = rows.count()
     if not n:
@@ -54,7 +55,7 @@ def train(rows: DataFrame, dimension: int) -> list[np.ndarray]:
         at = [float(x) for x in rows.approxQuantile("sequence", [i / c for i in range(c)], 0.001)]
         first = rows.where(F.col("sequence").isin(at)).orderBy("sequence").select("vector").collect()
     start = np.array([r[0] for r in first], dtype=np.float64)
-    books = [start[:, a:b].copy() for a, b in subspaces(dimension)]
+    books = [start[:, a:b].copy() for a, b in subspaces(dimension, most)]
     for _ in range(ROUNDS):
 
         def sums(batches, books=tuple(books)):
@@ -63,7 +64,7 @@ def train(rows: DataFrame, dimension: int) -> list[np.ndarray]:
                 x = np.array(batch.column(0).to_pylist(), dtype=np.float64)
                 if len(x):
                     codes = encode(x, list(books))
-                    for s, (a, b) in enumerate(subspaces(x.shape[1])):
+                    for s, (a, b) in enumerate(subspaces(x.shape[1], len(books))):
                         np.add.at(total[s], codes[:, s], np.concatenate([x[:, a:b], np.ones((len(x), 1))], axis=1))
             for s, t in enumerate(total):
                 yield pa.RecordBatch.from_arrays([pa.array([s] * t.size, pa.int32()), pa.array(np.arange(t.size, dtype=np.int32)), pa.array(t.ravel())], names=["s", "i", "x"])
@@ -88,7 +89,7 @@ def with_codes(rows: DataFrame, books: list[np.ndarray]) -> DataFrame:
 
 def lookup(query: np.ndarray, books: list[np.ndarray], metric: str) -> list[np.ndarray]:
     """What each centroid adds to the score of a query."""
-    parts = [(query[a:b], book) for (a, b), book in zip(subspaces(len(query)), books)]
+    parts = [(query[a:b], book) for (a, b), book in zip(subspaces(len(query), len(books)), books)]
     return [book @ q if metric == "COSINE" else -((book - q) ** 2).sum(axis=1) for q, book in parts]
 
 
@@ -177,6 +178,19 @@ class Graph:
                         heapq.heappop(kept)
         return sorted(kept, reverse=True), len(seen)
 
+    def quantized(self, q: np.ndarray, codes: np.ndarray, tables: list[np.ndarray]):
+        """Scores by table lookups, to stand in for exact ones."""
+        length = np.linalg.norm(q)
+
+        def f(_, at):
+            total = sum(t[codes[at, s]] for s, t in enumerate(tables))
+            if self.metric != "COSINE":
+                return total
+            n = self.norms[at] * length
+            return np.where(n == 0, 0.0, total / np.where(n == 0, 1.0, n))
+
+        return f
+
     def search(self, q: np.ndarray, width: int, scored=None) -> tuple[list[tuple[float, int]], int]:
         """The beam's rows, best first, and how many were looked at; scored may stand in for exact scores on the lowest layer."""
         if self.entry < 0:
@@ -187,6 +201,11 @@ class Graph:
         return self._beam(q, [at], width, 0, scored or self.scores)
 
 
+def sharded(rows: DataFrame, n: int) -> DataFrame:
+    """rows and shard: so many shards of n rows that each has SHARD_ROWS at most."""
+    return rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-2 * n // SHARD_ROWS)))))
+
+
 def graph_candidates(rows: DataFrame, query, width: int, books: list[np.ndarray], metric: str, shard: str = "shard") -> DataFrame:
     """(id, approx) of the beams of all shards of (shard, sequence, id, vector): each shard, SHARD_ROWS at most, is one group."""
     q = np.asarray(query, dtype=np.float64)
@@ -195,16 +214,8 @@ def graph_candidates(rows: DataFrame, query, width: int, books: list[np.ndarray]
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sequence")
         x = np.array(pdf["vector"].tolist(), dtype=np.float64)
-        g, codes = Graph(x, metric), encode(x, books)
-
-        def quantized(_, at):
-            total = sum(t[codes[at, s]] for s, t in enumerate(tables))
-            if metric != "COSINE":
-                return total
-            n = g.norms[at] * np.linalg.norm(q)
-            return np.where(n == 0, 0.0, total / np.where(n == 0, 1.0, n))
-
-        found, _ = g.search(q, width, quantized)
+        g = Graph(x, metric)
+        found, _ = g.search(q, width, g.quantized(q, encode(x, books), tables))
         return pd.DataFrame({"id": [pdf["id"].iloc[i] for _, i in found], "approx": [s for s, _ in found]})
 
     return rows.groupBy(shard).applyInPandas(one, "id string, approx double")
@@ -221,8 +232,7 @@ def ann_topk(rows: DataFrame, query, k: int, metric: str, books: list[np.ndarray
     matching = rows if where is None else rows.where(where)
     size = max(plan.rerank, plan.beam)
     if graph:
-        sharded = matching.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-2 * n // SHARD_ROWS)))))
-        best = graph_candidates(sharded, q, plan.beam, books, metric).orderBy(F.desc("approx"), "id").limit(size).select("id")
+        best = graph_candidates(sharded(matching, n), q, plan.beam, books, metric).orderBy(F.desc("approx"), "id").limit(size).select("id")
     else:
         s = quantized_score(F.col("codes"), lookup(np.array(q), books, metric), F.col("norm"), float(np.linalg.norm(q)), metric)
         best = matching.select("id", s.alias("approx")).orderBy(F.desc("approx"), "id").limit(size).select("id")

@@ -51,6 +51,12 @@ def plan_search(n: int, k: int, filtered: int | None = None, indexed: bool = Tru
     return SearchPlan("EXACT" if exact else "APPROXIMATE", min(EF_MOST, max(4 * k, beam)), max(k, min(RERANK_MOST, rerank)))
 
 
+def plan_batch(n: int, k: int) -> int:
+    """Candidates a query of a batch search: what one search would look at, in its beam or to rank again."""
+    p = plan_search(n, k)
+    return max(p.beam, p.rerank)
+
+
 def flush_mutations(dimension: int, held: int = 0, tombstones: int = 0, stale: int = 0) -> int:
     """Mutations after which to flush: twice as many for middling dimensions, unless much of what is held is dead or replaced."""
     calm = stale < 64 and not (held and 4 * tombstones >= held)

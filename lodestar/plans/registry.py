@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.payload import footprint, merged
 from lodestar.functions.scoring import doubles, literal, score
-from lodestar.operators import ann, policy, state
+from lodestar.operators import ann, batch, policy, state
 from lodestar.operators.filters import Columns, FilterBuilder, Payload, compile_filter
-from lodestar.operators.search import knn
 from lodestar.sources import codecs
 
 QUERIES, SQL = {}, {}
@@ -179,23 +178,34 @@ def patch_fold(spark, sf_dir):
     return folded.select("id", F.variant_get(out, "$.k", "bigint").alias("k"), F.variant_get(out, "$.meta.kind", "string").alias("kind"), F.size("p").cast("long").alias("n"))
 
 
-def _knn(spark, sf_dir, on=None):
+def _queries(rows):
+    """The stated query set: every row whose id is divisible by 100."""
+    return rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+
+
+def _knn(spark, sf_dir, on=None, metric="COSINE"):
     v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    q = v.where("id < 20").withColumnRenamed("id", "query_id")
-    return knn(q, v, 5, on=on)
+    return batch.knn(_queries(v), v, 5, metric, on)
 
 
+_L2_PAIR = f"-list_sum(list_transform(list_zip(q.{_V}, v.{_V}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) + 0.0"
 _KNN = f"""SELECT query_id, id, score, rn AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (
-    SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.{_V}, v.{_V}), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id < 20 AND %s)) WHERE rn <= 5"""
+    SELECT q.vec_id AS query_id, v.vec_id AS id, round(%s, 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id %% 100 = 0 AND %s)) WHERE rn <= 5"""
+_COS_PAIR = f"list_cosine_similarity(q.{_V}, v.{_V})"
 
 
-@query(_KNN % "true")
+@query(_KNN % (_COS_PAIR, "true"))
 def knn_batch(spark, sf_dir):
     return _knn(spark, sf_dir)
 
 
-@query(_KNN % "q.label = v.label")
+@query(_KNN % (_L2_PAIR, "true"))
+def knn_l2(spark, sf_dir):
+    return _knn(spark, sf_dir, metric="L2")
+
+
+@query(_KNN % (_COS_PAIR, "q.label = v.label"))
 def knn_by_label(spark, sf_dir):
     return _knn(spark, sf_dir, "label")
 
@@ -222,20 +232,27 @@ def pq_encode_adc(spark, sf_dir):
     return ann.with_codes(rows, books).select("id", "codes", F.round(s, 6).alias("approx"))
 
 
+def _ann(spark, sf_dir, graph):
+    rows = _log(spark, sf_dir).withColumn("id", F.col("id").cast("long"))
+    n, books = rows.count(), ann.train(rows, 64, batch.SUBSPACES)
+    return batch.ann_knn(_queries(rows.select("id", "vector")), ann.with_codes(rows, books), 10, "COSINE", books, policy.plan_batch(n, 10), graph, n)
+
+
 @query()
 def ann_topk(spark, sf_dir):
-    rows = _log(spark, sf_dir)
-    books = ann.train(rows, 64)
-    found = ann.ann_topk(ann.with_codes(rows, books), _query_vector(spark, sf_dir), 10, "COSINE", books, rows.count())
-    return found.select("id", F.round("score", 6).alias("score"), "sequence")
+    return _ann(spark, sf_dir, graph=False)
 
 
 @query()
 def ann_graph_topk(spark, sf_dir):
-    rows = _log(spark, sf_dir)
-    books = ann.train(rows, 64)
-    found = ann.ann_topk(rows, _query_vector(spark, sf_dir), 10, "COSINE", books, rows.count(), graph=True)
-    return found.select("id", F.round("score", 6).alias("score"), "sequence")
+    return _ann(spark, sf_dir, graph=True)
+
+
+@query()
+def ann_recall(spark, sf_dir):
+    """Each query's share of its exact ten that the codes find."""
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return batch.recall(_ann(spark, sf_dir, graph=False), batch.knn(_queries(v), v, 10))
 
 
 @query("""SELECT n, k, CASE WHEN n <= greatest(256, 32 * k) OR greatest(n, k) <= greatest(512, 40 * k) OR greatest(n, k) / n <= 0.12 THEN 'EXACT' ELSE 'APPROXIMATE' END AS mode

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import ann, policy
+from lodestar.operators import ann, batch, policy
 from lodestar.operators.filters import FilterBuilder, FilterError, Payload, compile_filter, parse
 from lodestar.operators.state import numbered, resolve
 
@@ -107,3 +107,44 @@ def test_recall_of_codes_and_graph(spark):
                 got = ann.ann_topk(ann.with_codes(rows, books), q.tolist(), 10, metric, books, 700, graph=graph).collect()
                 found += len({h["id"] for h in got} & {str(i) for i in np.argsort(-s)[:10]})
             assert found >= 27, (metric, graph, found)
+
+
+@pytest.mark.parametrize("names", [str, int])
+def test_batch_search_against_brute_force(spark, monkeypatch, names):
+    monkeypatch.setattr(batch, "QUERY_BLOCK_BYTES", 256)
+    monkeypatch.setattr(batch, "SCORES", 40)
+    r = np.random.default_rng(6)
+    x = np.round(r.normal(size=(90, 4)), 1)
+    x[5] = 0
+    x[40:60] = x[30]  # ties
+    rows = [(names(i), v.tolist(), i % 3 if i % 7 else None) for i, v in enumerate(x)]
+    odd = [(None, [1.0] * 4, 1), (names(900), None, 1), (names(901), [1.0], 1), (names(902), [1.0, None, 1.0, 1.0], 1)]
+    kind = f"id {'string' if names is str else 'long'}, vector array<double>, label int"
+    df = spark.createDataFrame(rows + odd, kind).repartition(3)
+    q = spark.createDataFrame(rows[::10], kind).withColumnRenamed("id", "query_id")
+    for metric, on in (("COSINE", None), ("L2", None), ("COSINE", "label")):
+        want = []
+        for name, v, label in rows[::10]:
+            s = []
+            for other, w, own in rows:
+                a, b = np.array(v), np.array(w)
+                size = np.linalg.norm(a) * np.linalg.norm(b)
+                if on is None or (label is not None and label == own):
+                    s.append((-round(float(-((a - b) ** 2).sum() if metric == "L2" else a @ b / size if size else 0.0), 6), other))
+            want += [(name, other, -v + 0.0, k + 1) for k, (v, other) in enumerate(sorted(s)[:6])]
+        got = [(h.query_id, h.id, h.score, h["rank"]) for h in batch.knn(q, df, 6, metric, on).collect()]
+        assert sorted(got) == sorted(want)
+    assert batch.knn(q.where("false"), df, 6).count() == 0 and batch.knn(q, df.where("false"), 6).count() == 0
+    with pytest.raises(batch.DimensionError):
+        batch.knn(df.where("id IS NOT NULL").withColumnRenamed("id", "query_id"), df, 6)
+
+
+def test_recall_of_batch_search(spark):
+    from lodestar.plans import registry
+
+    rows = registry.queries()["ann_recall"](spark, "/root/testdata/sf0.1").collect()
+    assert len(rows) == 20 and sum(r.recall for r in rows) >= 0.9 * len(rows)
+    graph = registry.queries()["ann_graph_topk"](spark, "/root/testdata/sf0.01")
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    exact = batch.knn(v.where("id % 100 = 0").withColumnRenamed("id", "query_id"), v, 10)
+    assert batch.recall(graph, exact).agg(F.avg("recall")).first()[0] >= 0.9
