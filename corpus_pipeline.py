@@ -36,6 +36,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    docs = _columns(docs)  # an extra column may have the name of the plan's
     plan = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
     taken = docs.join(plan, docs.doc_id.eqNullSafe(plan.doc_id)).select(*(docs[c] for c in COLUMNS), "copies")
     return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*COLUMNS)
