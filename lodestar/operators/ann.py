@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 from lodestar.functions.scoring import doubles, literal, score
 from lodestar.operators.policy import plan_search
 
+#: Subspaces of a code at most. Four give a recall of 0.6 only on 2,000 vectors of 64 components, sixteen 0.93.
+SUBSPACES = 16
 # Fixed values of the quantizer and of the graph.
-SUBSPACES, CENTROIDS, ROUNDS = 4, 16, 6
+CENTROIDS, ROUNDS = 16, 6
 LINKS, BASE_LINKS, BUILD_BEAM, LEVELS, SEED = 8, 16, 64, 7, 7337331
 #: Rows of one shard's graph at most.
 SHARD_ROWS = 20_000

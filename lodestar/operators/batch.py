@@ -16,8 +16,6 @@ from lodestar.operators.search import DimensionError
 
 #: Bytes of the vectors of one block of queries, and scores that a task computes at a time.
 QUERY_BLOCK_BYTES, SCORES = 8 << 20, 2_000_000
-#: Subspaces of the codes of a batch search, of 16 centroids each. Four, as for a single search, give a recall of 0.6 only on 2,000 vectors.
-SUBSPACES = 16
 
 
 class Best:

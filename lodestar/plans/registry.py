@@ -234,7 +234,7 @@ def pq_encode_adc(spark, sf_dir):
 
 def _ann(spark, sf_dir, graph):
     rows = _log(spark, sf_dir).withColumn("id", F.col("id").cast("long"))
-    n, books = rows.count(), ann.train(rows, 64, batch.SUBSPACES)
+    n, books = rows.count(), ann.train(rows, 64)
     return batch.ann_knn(_queries(rows.select("id", "vector")), ann.with_codes(rows, books), 10, "COSINE", books, policy.plan_batch(n, 10), graph, n)
 
 
