@@ -24,8 +24,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the multi-line chunks that stand elsewhere before; n_chars follows the text."""
-    out = line_dedup.dedup_lines(_columns(docs))
+    """All documents, without the runs of two lines or more that stand elsewhere before; n_chars follows the text."""
+    out = line_dedup.dedup_runs(_columns(docs))
     return out.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 

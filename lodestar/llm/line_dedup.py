@@ -90,3 +90,66 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     n = F.when(x.isNull() | (x == ""), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
     removed = F.coalesce(F.aggregate("drop", F.lit(0).cast("long"), lambda s, c: s + _length(c)), F.lit(0).cast("long")).alias("n_removed")
     return out.select(*fields, n, removed)
+
+
+#: Bits of the bitmap that keeps texts without a wanted pair from the shuffle; a full one lets all through.
+_BITS = 1 << 23
+
+
+def _with_lines(text: Column, f) -> Column:
+    """f of a text's lines, which are split once however often f reads them in lambdas."""
+    return F.transform(F.array(_lines(text)), f)[0]
+
+
+def _pair(lines: Column, i: Column) -> Column:
+    return F.concat(lines[i], F.lit("\n"), lines[i + 1])
+
+
+def dedup_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df without each run of two lines or more that stands earlier in the corpus, wherever it begins; adds n_lines and n_removed.
+
+    Two lines that follow each other are a pair. The first place of a pair is that of the smallest id (null last), then hash of
+    the text, then line; a line goes where a pair that it belongs to isn't first (the next place in a text, which shares a line
+    with the first, counts as the first). So of every repeated run all lines go, the first place of every line stays, and no
+    border has to fall alike. Pairs meet by a hash of their lines' hashes; one goes only if its bytes equal those of the first.
+    Counts meet by the hash alone, in sums that begin before the shuffle; a pair in a third of all documents is a long run of a
+    sort-merge join, which AQE splits. A text crosses the network once with the result, and once more if it may hold a first.
+
+    Rows alike in id and text are one document: they keep the same lines. Null and empty texts and those of one line stay as
+    they are (n_lines 0 for null and empty); of a text whose lines all go, '' is left. Empty df: empty result. Columns of df
+    named n_lines or n_removed are replaced, all others stay whatever they are named. A document's pairs are one array of its row.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys(df.columns)))
+    rows = df.select(whole.alias("row")).select(
+        "row", F.col(f"row.`{doc_id}`").alias("k1"), F.xxhash64(F.col(f"row.`{text}`")).alias("k2")
+    )
+    texts = rows.select("k1", "k2", F.col(f"row.`{text}`").alias("x")).where(F.col("x").contains("\n"))
+    hashes = F.transform(_lines(F.col("x")), lambda x: F.xxhash64(x))
+    paired = F.transform(F.array(hashes), lambda h: F.zip_with(h, F.slice(h, 2, F.size(h)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))))[0]
+    pairs = texts.select("k1", "k2", F.posexplode(paired).alias("line", "hash")).where("hash IS NOT NULL")
+    pairs = staged(pairs, "line-pairs")
+    place = F.struct(F.col("k1").isNull().alias("no_id"), "k1", "k2", "line")
+    firsts = pairs.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
+    firsts = staged(firsts, "line-firsts")
+    own_text = (F.col("k1").eqNullSafe(F.col("first.k1"))) & (F.col("k2") == F.col("first.k2"))
+    later = pairs.join(firsts, "hash").where(~(own_text & F.col("line").isin(F.col("first.line"), F.col("first.line") + 1))).select("hash", "k1", "k2", "line")
+    wanted = firsts.groupBy(F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2")).agg(F.collect_list(F.struct("hash", "first.line")).alias("wanted"))
+    # The texts with a first, by one bit of their hash.
+    bit = lambda k: F.pmod(k, F.lit(_BITS))
+    word = lambda k: F.floor(bit(k) / 64)
+    bits = firsts.groupBy(word(F.col("first.k2")).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(first.k2, {_BITS}) % 64 AS int))")).alias("bits"))
+    may = texts.join(F.broadcast(bits), word(F.col("k2")) == F.col("word")).where(F.expr(f"(bits & shiftleft(1L, cast(pmod(k2, {_BITS}) % 64 AS int))) <> 0")).select("k1", "k2", "x")
+    same = (F.col("k1").eqNullSafe(F.col("f1"))) & (F.col("k2") == F.col("f2"))
+    own = _with_lines(F.col("x"), lambda l: F.transform("wanted", lambda w: F.struct(w["hash"].alias("hash"), _pair(l, w["line"]).alias("own"))))
+    originals = may.join(wanted, same).select(F.explode(own).alias("w")).select("w.hash", "w.own").dropDuplicates(["hash"])
+    gone = later.join(originals, "hash").groupBy(F.col("k1").alias("f1"), F.col("k2").alias("f2")).agg(F.collect_list(F.struct("line", "own")).alias("gone"))
+    x = F.col(f"row.`{text}`")
+    both = rows.join(gone, same, "left")
+    equal = _with_lines(x, lambda l: F.flatten(F.transform(F.filter("gone", lambda g: _pair(l, g["line"]) == g["own"]), lambda g: F.array(g["line"], g["line"] + 1))))
+    # Rows alike in id and text name their pairs once each.
+    out = both.select("row", F.when(F.col("gone").isNotNull(), F.array_distinct(equal)).alias("drop"))
+    kept = _with_lines(x, lambda l: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(l) - 1), F.col("drop")), lambda i: l[i]), "\n"))
+    fields = [F.col(f"row.`{c}`") if c != text else F.when(F.size("drop") > 0, kept).otherwise(x).alias(c) for c in dict.fromkeys(df.columns) if c.lower() not in ("n_lines", "n_removed")]
+    n = F.when(x.isNull() | (x == ""), 0).otherwise(F.size(_lines(x))).cast("long").alias("n_lines")
+    removed = F.when(F.size("drop") > 0, F.size("drop")).otherwise(0).cast("long").alias("n_removed")
+    return out.select(*fields, n, removed)
