@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,28 +86,36 @@ class Index:
         hits = np.flatnonzero(self.known[at] == grams)
         if not len(hits):
             return
-        starts: dict[int, list[int]] = {}
+        starts: dict[int, list[tuple[int, int]]] = {}
         for i in hits:
             for t, j in self.at[int(grams[i])]:
-                starts.setdefault(t, []).append(int(i) - j)
+                starts.setdefault(t, []).append((int(i) - j, int(i)))
         for t, found in sorted(starts.items()):
             own = self.words[t]
-            done = -(1 << 60)
-            for start in sorted(set(found)):
-                if start < done:  # the last alignment of this template covers it
-                    continue
-                n, first, last = align(own, words, start)
-                if n and n / len(own) >= coverage:
+            spans: list[tuple[int, int]] = []  # of the alignments reported, in order; they don't overlap
+            tried: set[tuple[int, int, int]] = set()
+            for start, i in sorted(set(found)):
+                while True:
+                    k = bisect_right(spans, (i, len(words)))
+                    low, high = spans[k - 1][1] if k else 0, spans[k][0] if k < len(spans) else len(words)
+                    if i < low or (start, low, high) in tried:  # an alignment of this template covers the place, or none is there
+                        break
+                    tried.add((start, low, high))
+                    n, first, last = align(own, words, start, low=low, high=high)
+                    if not n or n / len(own) < coverage:
+                        break
                     yield self.names[t], n, n / len(own), first, last + 1
-                    done = max(start + BAND + 1, last + 1 - len(own) // 2)
+                    spans.insert(k, (first, last + 1))
 
 
-def align(a: np.ndarray, b: np.ndarray, start: int, band: int = BAND) -> tuple[int, int, int]:
+def align(a: np.ndarray, b: np.ndarray, start: int, band: int = BAND, low: int = 0, high: int | None = None) -> tuple[int, int, int]:
     """Most equal words of a, in order, within b near start, drifting by band words at most: their number, first and last place in b.
 
+    Only places of b from low on, before high, count.
+
     A longest common subsequence over a band of diagonals, one row for each word of a.
     """
-    width = 2 * band + 1
+    width, high = 2 * band + 1, len(b) if high is None else high
     best = [(0, -1, -1)] * width  # of diagonal start + d - band: matches, minus the first place, last place
     for i, word in enumerate(a):
         row = [(0, -1, -1)] * width
@@ -115,7 +124,7 @@ def align(a: np.ndarray, b: np.ndarray, start: int, band: int = BAND) -> tuple[i
             top = best[d + 1] if d + 1 < width else (0, -1, -1)  # a's word left out
             side = row[d - 1] if d else (0, -1, -1)  # b's word left out
             score = max(top, side, key=lambda x: (x[0], x[1]))
-            if 0 <= j < len(b) and b[j] == word:
+            if low <= j < high and b[j] == word:
                 n, first, _ = best[d]
                 met = (n + 1, first if n else j, j)
                 score = max(score, met, key=lambda x: (x[0], x[1] - x[2]))

@@ -26,3 +26,11 @@ def test_each_template_is_found_as_itself():
     for name, text in license_scan.TEMPLATES.items():
         assert found(f"some words before {text} and some after") == [name]
     assert found("Released under the Apache License") == found("released under the old roof") == []
+
+
+def test_places_that_follow_each_other_are_each_reported():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for name, text in license_scan.TEMPLATES.items():
+        n = len(text.split())
+        m = license_scan.best(index.matches(license_scan._hashes(license_scan._memo(), " ".join([text] * 5)), 0.75))
+        assert [(x[0], x[3], x[4]) for x in m] == [(name, k * n, k * n + n) for k in range(5)]
