@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,11 @@ BLANK = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the session names none (as in tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir. Where a local session names none (as in tests), a temporary one is set; on a cluster, that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="lodestar-shared-")
     if not sc.getCheckpointDir():
@@ -31,13 +34,37 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and any executor can read it.
 
-    The folder goes when the driver's process ends.
+    The folder goes when the driver's process ends, or with unstaged.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def unstaged(*frames: DataFrame | None) -> None:
+    """Delete what staged has written for these frames, which nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "staged_path", None)
+        if path:
+            _drop(df.sparkSession, path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20):
+    """Arrow batches of so many rows and bytes at most, for what is run (not only planned) within."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -88,6 +115,7 @@ def claim(owner: str, release: Callable | None = None) -> None:
         _held.pop(name)()
     if others_:
         gc.collect()
+        pa.default_memory_pool().release_unused()
     if release is not None:
         _held[owner] = release
 

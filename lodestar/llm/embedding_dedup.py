@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import staged
 from lodestar.llm.components import components
-from lodestar.llm.ngram_join import _groups
+from lodestar.llm.tiles import groups
 
 #: Vectors of a cell aimed at, rows of a block, and the bytes of the sample that k-means reads at most.
 CELL, BLOCK, SAMPLE_BYTES = 8192, 2048, 10 << 20
@@ -100,7 +100,7 @@ def dedup_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     m = m.select("*", other).select(F.xxhash64("group", "cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "home", "id", "n", "v")
 
     def linked(batches):
-        for t in _groups(batches, "tile"):
+        for t in groups(batches, "tile"):
             ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
             home, left, right = (np.array(t.column(c).to_pylist(), dtype=bool) for c in ("home", "left", "right"))
             x = np.frombuffer(b"".join(t.column("v").to_pylist()), dtype=np.float64).reshape(len(ids), -1)
@@ -127,9 +127,9 @@ def dedup_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
             )
 
     links = staged(m.repartition("tile").sortWithinPartitions("tile").mapInArrow(linked, "a bigint, b bigint, n bigint"), "vector-links")
-    groups = components(links.where("b IS NOT NULL").select("a", "b")).withColumnsRenamed({"node": "id"})
+    joined = components(links.where("b IS NOT NULL").select("a", "b")).withColumnsRenamed({"node": "id"})
     direct = links.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
-    found = unique.select("h1", "h2", F.col("id"), "n").join(direct, "id", "left").join(groups, "id", "left")
+    found = unique.select("h1", "h2", F.col("id"), "n").join(direct, "id", "left").join(joined, "id", "left")
     found = found.select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     out = rows.select("id", "h1", "h2").join(found, ["h1", "h2"], "left")
     component = F.coalesce("component", "id")

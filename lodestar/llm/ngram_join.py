@@ -7,21 +7,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import others, staged
+from lodestar.llm.common import claim, others, small_batches, staged, unstaged
 from lodestar.llm.components import components
-from lodestar.llm.words import WordHashes, shingles
+from lodestar.llm.tiles import groups
+from lodestar.llm.words import in_parts, shingle_sets
 
 #: Bits of a set's signature: the power of two that holds its size, between these.
 NARROW, WIDE = 64, 8192
-#: Rows of one tile, and the ones that every block of a larger cluster meets first.
-TILE, LEADERS = 2048, 16
-#: Texts whose sets a task holds at a time.
-ROWS = 500
+#: Rows and bytes of sets of one tile, and the rows that every block of a larger one meets first.
+TILE, TILE_BYTES, LEADERS = 2048, 8 << 20, 16
 #: Shingles counted at a time when looking for frequent ones, and how many a task and the job report at most.
 COUNTED, TASK_FREQUENT, FREQUENT = 2_000_000, 20_000, 200_000
+#: Digests that a task remembers, to pass over what it has seen. Forgetting costs time only.
+REMEMBERED = 100_000
 
 
 def _width(n: int) -> int:
@@ -85,40 +86,25 @@ class _Sets:
         return self.labels
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The rows of each key, from batches in which they stand together."""
-    rest: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-        if rest and rest[0].column(key)[0].as_py() != k[0]:
-            yield pa.Table.from_batches(rest)
-            rest = []
-        for a, z in zip(cuts, cuts[1:]):
-            rest.append(b.slice(a, z - a))
-            if z < len(k):
-                yield pa.Table.from_batches(rest)
-                rest = []
-    if rest:
-        yield pa.Table.from_batches(rest)
+class _Seen(set):
+    """Whether a key came before, as far as remembered."""
 
+    def new(self, key) -> bool:
+        if key in self:
+            return False
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self.add(key)
+        return True
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, ROWS):
-            yield b.slice(at, ROWS)
 
+def _digest(own: np.ndarray, size: int = 16) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=size).digest()
 
-def _edges(ids: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    away = ids != ids[labels]
-    return ids[away], ids[labels][away]
 
-
-def _pairs_out(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([cat(a), cat(b)], names=["a", "b"])
+def _edges(ids: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
+    away = labels != np.arange(len(labels))
+    return pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[labels][away])], names=["a", "b"])
 
 
 def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
@@ -128,7 +114,7 @@ def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
     """
 
     def run(batches):
-        hashes = WordHashes()
+        claim("ngram_join")
         own: list[np.ndarray] = []
         size = 0
 
@@ -138,10 +124,10 @@ def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
             often = often[np.argsort(-n[often], kind="stable")[:TASK_FREQUENT]]
             return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
 
-        for b in batches:
-            for x in b.column(0):
-                own.append(np.unique(shingles(hashes(x.as_py()), width)))
-                size += len(own[-1])
+        for b in in_parts(batches, "x"):
+            for one in shingle_sets(b.column("x"), width):
+                own.append(one)
+                size += len(one)
                 if size >= COUNTED:
                     yield counted()
                     own, size = [], 0
@@ -156,49 +142,47 @@ def group_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """(doc_id, n_shingles, component_id) for each row of df: documents link when den * intersection >= num * union.
 
     1. Each text gives the size of its set, a digest, a bit signature, and a prefix: the first hashes in an order with frequent ones last,
-       so many that two alike sets share one. A task gives the prefix of equal sets once. Equal digests link to the smallest id.
-    2. Documents that share a prefix hash make a tile; tiles with the same members count once, and rows stand in order of size.
+       so many that two alike sets share one. Equal sets are one from here on, under their smallest id.
+    2. Sets that share a prefix hash make a tile; tiles with the same members count once, and rows stand in order of size.
        Within a tile's size bands, differing signature bits bound the overlap from above; what stays linked makes clusters.
     3. Only documents in clusters are read again. Within a cluster the bound comes first, then the exact intersection of sorted arrays.
-       A cluster larger than a tile is dealt in blocks that all meet the same few leaders; what then isn't yet in its largest group
-       meets every block. So no pair is lost, and groups of near copies take a time in proportion to their size.
-    4. Components of the links, by stars.
+    4. Components of the links, by stars; copies get that of their set.
+
+    A tile or cluster of more than TILE rows or TILE_BYTES is dealt in blocks that all meet the same few leaders; what then isn't yet in its
+    largest group meets every block. So no pair is lost: a group of near copies takes time in proportion to its size, and r rows of n
+    that aren't like any leader take r * n / TILE block pairs. No task holds more than two such blocks, or two sets that are larger.
 
     doc_id must be a whole number. Rows with null, empty or blank texts have 0 shingles and link with nothing; rows
     with a null id link with nothing and have component_id null. Rows with one id are one node. Ties and repeated rows: equal sets link. An empty df
     gives an empty result. Extra columns are ignored. Texts are read whole, of any length.
     """
-    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("x"))
+    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("x"))
     spark = df.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_shingles(rows.select("x"), width))
 
     def described(batches):
-        hashes, seen = WordHashes(), set()
-        for b in _sliced(batches):
+        claim("ngram_join")
+        seen = _Seen()
+        for b in in_parts(batches, "x"):
             n, digest, prefix, bits = [], [], [], []
-            for x, known in zip(b.column(1), b.column(0).is_valid().to_pylist()):
-                own = np.unique(shingles(hashes(x.as_py()), width))
+            for own, known in zip(shingle_sets(b.column("x"), width), b.column("id").is_valid().to_pylist()):
                 n.append(len(own))
-                if not len(own) or not known:
-                    digest.append(None), prefix.append(None), bits.append(None)
-                    continue
-                d = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                d = _digest(own) if len(own) and known else None
                 digest.append(d)
-                if d in seen:
-                    prefix.append(None), bits.append(None)
-                else:
-                    seen.add(d)
-                    prefix.append(_prefix(own, frequent.value, num, den).view(np.int64))
-                    bits.append(_signature(own, _width(len(own))).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "digest", "prefix", "bits"])
+                first = d is not None and seen.new(d)
+                prefix.append(_prefix(own, frequent.value, num, den).view(np.int64) if first else None)
+                bits.append(_signature(own, _width(len(own))).tobytes() if first else None)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "digest", "prefix", "bits"])
 
-    docs = staged(rows.mapInArrow(described, "id bigint, n bigint, digest binary, prefix array<bigint>, bits binary"), "shingle-sets")
-    equal = docs.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("b"))
-    copies = docs.where("digest IS NOT NULL").join(equal, "digest").where("id <> b").select(F.col("id").alias("a"), "b")
+    with small_batches(spark):
+        frequent = spark.sparkContext.broadcast(frequent_shingles(rows.select("x"), width))
+        docs = staged(rows.mapInArrow(described, "id bigint, n bigint, digest binary, prefix array<bigint>, bits binary"), "shingle-sets")
+    known = docs.where("digest IS NOT NULL")
+    unique = staged(known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix", True).alias("prefix"), F.first("bits", True).alias("bits")), "unique-sets")
 
     def tiles(batches):
-        """Tiles of two or more members. A large group is passed on as it comes, under its hash."""
-        done: set[int] = set()
+        """Tiles of two or more members, under the name of their members. One of more than 2 TILE is passed on as it comes, under its hash."""
+        claim("ngram_join")
+        done = _Seen()
         held: list[np.ndarray] = []
         hash_, large = None, False
 
@@ -206,20 +190,18 @@ def group_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
             members = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
             if len(members) < 2:
                 return None
-            name = int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
-            if name in done:
-                return None
-            if len(done) >= 1_000_000:
-                done.clear()
-            done.add(name)
-            return np.full(len(members), name), members
+            name = int.from_bytes(_digest(members, 8), "little", signed=True)
+            return (np.full(len(members), name), members, False) if done.new(name) else None
+
+        def batch(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([t for t, _, _ in found])), pa.array(np.concatenate([m for _, m, _ in found])), pa.array(np.concatenate([np.full(len(m), b) for _, m, b in found]))], names=["tile", "id", "large"])
 
         for b in batches:
             if not b.num_rows:
                 continue
             h, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-            out: list[tuple[np.ndarray, np.ndarray]] = []
+            out: list[tuple[np.ndarray, np.ndarray, bool]] = []
             # Groups that begin and end in this batch with one member are passed over at once.
             sizes = np.diff(cuts)
             for g in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
@@ -233,108 +215,114 @@ def group_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
                     large = True
                 if large:
                     own = np.concatenate(held)
-                    out.append((np.full(len(own), hash_), own))
+                    out.append((np.full(len(own), hash_), own, True))
                     held = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t for t, _ in out])), pa.array(np.concatenate([m for _, m in out]))], names=["tile", "id"])
+                yield batch(out)
         if not large and (t := closed()):
-            yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(t[1])], names=["tile", "id"])
+            yield batch([t])
 
-    postings = docs.where("prefix IS NOT NULL").select(F.explode("prefix").alias("h"), "id")
-    tiled = postings.repartition("h").sortWithinPartitions("h", "id").mapInArrow(tiles, "tile bigint, id bigint").distinct()
-    tiled = staged(tiled, "tiles")
-    signed = docs.where("bits IS NOT NULL").select("id", "n", "bits")
-    tiled = _blocked(tiled, "tile").join(signed, "id")
+    postings = unique.select(F.explode("prefix").alias("h"), "id")
+    tiled = staged(postings.repartition("h").sortWithinPartitions("h", "id").mapInArrow(tiles, "tile bigint, id bigint, large boolean").distinct(), "tiles")
 
-    def bounded(batches):
-        for t in _groups(batches, "tile"):
-            ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
-            order = np.argsort(n, kind="stable")
-            bits = t.column("bits").to_pylist()
-            s = _Sets(n[order], [np.frombuffer(bits[i], dtype=np.uint64) for i in order], num, den)
-            a, b = _edges(ids[order], s.link())
-            if len(a):
-                yield _pairs_out([a], [b])
+    def bounded(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray], None]:
+        return t.column("n").to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in t.column("bits").to_pylist()], None
 
-    near = tiled.select("tile", "id", "n", "bits").repartition("tile").sortWithinPartitions("tile").mapInArrow(bounded, "a bigint, b bigint")
-    clusters = staged(components(near).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
+    signed = unique.select("id", "n", "bits")
+    with small_batches(spark, 10_000):
+        sizes = _blocks(tiled.where("large"), F.lit(0))
+        near = _linked(tiled.where("NOT large").join(signed, "id"), tiled.where("large").join(sizes, "tile").join(signed, "id"), sizes, ["n", "bits"], bounded, num, den)
+        clusters = staged(components(near).select(F.col("node").alias("id"), F.col("component").alias("tile")), "clusters")
+    unstaged(near, tiled)
 
     def sets(batches):
-        hashes, seen = WordHashes(), set()
-        for b in _sliced(batches):
-            own = [np.unique(shingles(hashes(x.as_py()), width)).view(np.int64) for x in b.column("x")]
-            keep = []
-            for c, o in zip(b.column("cluster").to_pylist(), own):
-                d = (c, hashlib.blake2b(o.tobytes(), digest_size=16).digest())
-                keep.append(d not in seen)
-                seen.add(d)
-            r = pa.RecordBatch.from_arrays([b.column("cluster"), b.column("id"), pa.array(own, pa.list_(pa.int64()))], names=["cluster", "id", "own"])
-            yield r.filter(pa.array(keep, pa.bool_()))
-
-    # Merged at every size, so that the plan is the same for a few clusters as for many.
-    full = staged(rows.join(clusters.hint("merge"), "id").select("cluster", "id", "x").mapInArrow(sets, "cluster bigint, id bigint, own array<bigint>"), "cluster-sets")
-    links = _exact(full, num, den)
-    linked = components(copies.unionByName(links)).withColumnsRenamed({"node": "id"})
-    return docs.select("id", "n").join(linked, "id", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-
-
-def _blocked(members: DataFrame, key: str) -> DataFrame:
-    """Tiles of more than 2 TILE members as all pairs of blocks, each a tile of its own."""
-    counts = members.groupBy(key).count().where(F.col("count") > 2 * TILE).select(key, F.ceil(F.col("count") / TILE).cast("int").alias("k"))
-    m = members.join(counts, key, "left").withColumn("mine", F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1))).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1), lambda i: F.struct(F.least(i, F.col("mine")), F.greatest(i, F.col("mine"))))
-    small = m.where("k IS NULL").select(key, "id")
-    large = m.where("k IS NOT NULL").select(key, "id", F.explode(pairs).alias("pair")).select(F.xxhash64(key, "pair").alias(key), "id")
-    return small.unionByName(large)
-
-
-def _exact(full: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links that join the same members as all links of a cluster's sets (cluster, id, own) do."""
-    sizes = staged(full.groupBy("cluster").count(), "cluster-sizes")
-    large = sizes.where(F.col("count") > TILE).select("cluster", F.ceil(F.col("count") / TILE).cast("int").alias("k"))
-
-    def verified(batches):
-        for t in _groups(batches, "tile"):
-            ids, own, outside = t.column("id").to_numpy(), [x.values.to_numpy().view(np.uint64) for x in t.column("own")], np.array(t.column("outside").to_pylist(), dtype=bool)
-            n = np.array([len(x) for x in own])
-            order = np.argsort(n, kind="stable")
-            own, n, ids, outside = [own[i] for i in order], n[order], ids[order], outside[order]
-            s = _Sets(n, [_signature(x, _width(len(x))) for x in own], num, den)
-
-            def exact(i, j):
-                a, b = own[i], own[j]
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                common = int((b[at] == a).sum())
-                return den * common >= num * (len(a) + len(b) - common)
+        claim("ngram_join")
+        seen = _Seen()
+        for b in in_parts(batches, "x"):
+            own = [x.tobytes() for x in shingle_sets(b.column("x"), width)]
+            keep = [seen.new((c, i, hashlib.blake2b(o, digest_size=16).digest())) for c, i, o in zip(b.column("tile").to_pylist(), b.column("id").to_pylist(), own)]
+            yield pa.RecordBatch.from_arrays([b.column("tile"), b.column("id"), pa.array(own, pa.binary())], names=["tile", "id", "own"]).filter(pa.array(keep, pa.bool_()))
+
+    def verified(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray], Callable[[int, int], bool]]:
+        own = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("own")]
+
+        def exact(i, j):
+            a, b = sorted((own[i], own[j]), key=len)
+            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+            common = int((b[at] == a).sum())
+            return den * common >= num * (len(a) + len(b) - common)
+
+        return np.array([len(x) for x in own]), [_signature(x, _width(len(x))) for x in own], exact
+
+    with small_batches(spark):
+        # Merged at every size, so that the plan is the same for a few clusters as for many.
+        full = staged(rows.join(clusters.hint("merge"), "id").select("tile", "id", "x").mapInArrow(sets, "tile bigint, id bigint, own binary"), "cluster-sets")
+        sizes = _blocks(full, F.octet_length("own"))
+        links = _linked(full.join(sizes, "tile", "left_anti"), full.join(sizes, "tile"), sizes, ["own"], verified, num, den)
+        # Rows with one id are one node, also where their texts differ.
+        several = known.groupBy("id").agg((F.min("digest") != F.max("digest")).alias("more")).where("more").select("id")
+        several = known.join(several, "id").join(unique.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b")
+        linked = components(links.unionByName(several)).withColumnsRenamed({"node": "id"})
+    unstaged(full, links)
+    named = unique.select("digest", "id").join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    out = docs.select("id", "n", "digest").where("digest IS NOT NULL").join(named, "digest").select("id", "n", "component")
+    out = out.unionByName(docs.where("digest IS NULL").select("id", "n", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _blocks(members: DataFrame, size: Column) -> DataFrame:
+    """(tile, k): the number of blocks of each tile of members that is larger than one, by rows and by bytes (the sum of size)."""
+    own = F.ceil(F.greatest(F.count("*") / TILE, F.sum(size) / TILE_BYTES)).cast("int")
+    return staged(members.groupBy("tile").agg(own.alias("k")).where("k > 1"), "tile-blocks")
+
+
+def _linked(small: DataFrame, large: DataFrame, sizes: DataFrame, payload: list[str], described: Callable, num: int, den: int) -> DataFrame:
+    """(a, b): links that join the same members as all links within a tile do.
+
+    small: (tile, id, payload), of tiles that a task can hold. large: the same with k, the number of blocks, for the tiles of sizes, which no task
+    holds whole. described gives the sizes, the signatures and the exact test of a table's rows.
+    """
 
-            a, b = _edges(ids, s.link(exact, None if outside.all() else outside))
-            if len(a):
-                yield _pairs_out([a], [b])
+    def linked(batches):
+        claim("ngram_join")
+        for t in groups(batches, "tile"):
+            n, bits, exact = described(t)
+            order = np.argsort(n, kind="stable")
+            outside = np.array(t.column("outside").to_pylist(), dtype=bool)[order]
+            s = _Sets(n[order], [bits[i] for i in order], num, den)
+            found = _edges(t.column("id").to_numpy()[order], s.link(exact and (lambda i, j: exact(order[i], order[j])), None if outside.all() else outside))
+            if found.num_rows:
+                yield found
 
     def run(tiles: DataFrame) -> DataFrame:
-        return tiles.select("tile", "id", "own", "outside").repartition("tile").sortWithinPartitions("tile").mapInArrow(verified, "a bigint, b bigint")
-
-    yes = F.lit(True)
-    small = run(full.join(large, "cluster", "left_anti").select(F.col("cluster").alias("tile"), "id", "own", yes.alias("outside")))
-    links = small
-    if not large.isEmpty():
-        many = full.join(large, "cluster").withColumns({"mine": F.pmod(F.xxhash64("id"), F.col("k")).cast("int"), "place": F.xxhash64("id", F.lit(7))})
-        lead = many.groupBy("cluster").agg(F.min("place").alias("least"), (LEADERS / F.count("*")).alias("share"))
-        leaders = many.join(lead, "cluster").where("place = least OR place / power(2D, 64) + 0.5 < share").select("cluster", "id", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("mine"))
-        met = many.select("cluster", "id", "own", "mine").unionByName(leaders).dropDuplicates(["cluster", "mine", "id"])
-        first = staged(run(met.select(F.xxhash64("cluster", "mine").alias("tile"), "id", "own", yes.alias("outside"))), "leader-links")
-        group = many.select("cluster", "id").join(components(first).withColumnsRenamed({"node": "id"}), "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("part"))
-        group = staged(group, "leader-groups")
-        main = group.groupBy("cluster", "part").count().groupBy("cluster").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-        out = group.join(main, "cluster").where("part <> main").select("id", "cluster")
-        outside = many.join(out, ["id", "cluster"], "left_semi").withColumn("of", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)))
-        counts = outside.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("j"))
-        outside = outside.join(counts, "cluster").withColumn("of", F.pmod("of", F.col("j")).cast("int"))
-        a = outside.select("cluster", "id", "own", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("mine"), "of")
-        b = many.join(out, ["id", "cluster"], "left_anti").unionByName(many.join(out, ["id", "cluster"], "left_semi")).join(counts, "cluster").select("cluster", "id", "own", F.lit(False).alias("outside"), "mine", F.explode(F.sequence(F.lit(0), F.col("j") - 1)).alias("of"))
-        second = run(a.unionByName(b).select(F.xxhash64("cluster", "mine", "of").alias("tile"), "id", "own", "outside"))
-        links = small.unionByName(first).unionByName(second)
-    return staged(links, "links")
+        return tiles.select("tile", "id", *payload, "outside").repartition("tile").sortWithinPartitions("tile").mapInArrow(linked, "a bigint, b bigint")
+
+    yes, no, upto = F.lit(True), F.lit(False), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    links = run(small.withColumn("outside", yes))
+    if sizes.isEmpty():
+        return staged(links, "links")
+    many = staged(large.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")), "blocks")
+    # The rows with the smallest of some random numbers lead: LEADERS about, and one at least.
+    place = F.xxhash64("id", F.lit(7))
+    lead = staged(many.groupBy("tile").agg(F.min(place).alias("least"), (LEADERS / F.count("*")).alias("share")), "leaders")
+    leaders = many.join(lead, "tile").where((place == F.col("least")) | (place / 2.0**64 + 0.5 < F.col("share")))
+    leaders = leaders.select("tile", "id", *payload, F.explode(F.filter(upto("k"), lambda i: i != F.col("mine"))).alias("mine"))
+    met = many.select("tile", "id", *payload, "mine").unionByName(leaders)
+    first = staged(run(met.select(F.xxhash64("tile", "mine").alias("tile"), "id", *payload, yes.alias("outside"))), "leader-links")
+    group = many.select("tile", "id").join(components(first).withColumnsRenamed({"node": "id"}), "id", "left")
+    group = staged(group.select("tile", "id", F.coalesce("component", "id").alias("part")), "leader-groups")
+    main = staged(group.groupBy("tile", "part").count().groupBy("tile").agg(F.max_by("part", F.struct("count", "part")).alias("main")), "main-groups")
+    out = staged(group.join(main, "tile").where("part <> main").select("tile", "id"), "outside")
+    if out.isEmpty():
+        return staged(links.unionByName(first), "links")
+    outside = staged(many.join(out, ["tile", "id"], "left_semi"), "outside-rows")
+    counts = staged(outside.groupBy("tile").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.octet_length(payload[-1])) / TILE_BYTES)).cast("int").alias("j")), "outside-blocks")
+    a = outside.join(counts, "tile").select("tile", "id", *payload, yes.alias("outside"), F.explode(upto("k")).alias("mine"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("j")).cast("int").alias("of"))
+    b = many.join(counts, "tile").select("tile", "id", *payload, no.alias("outside"), "mine", F.explode(upto("j")).alias("of"))
+    second = run(a.unionByName(b).select(F.xxhash64("tile", "mine", "of").alias("tile"), "id", *payload, "outside"))
+    out = staged(links.unionByName(first).unionByName(second), "links")
+    unstaged(many, first, group, outside)
+    return out
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
