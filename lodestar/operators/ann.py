@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import io
 
 import numpy as np
 import pandas as pd
@@ -13,12 +14,14 @@ from pyspark.sql import types as T
 
 from lodestar.functions.scoring import doubles, literal, score
 from lodestar.operators.policy import plan_search
+from lodestar.operators.state import numbered
 
 #: Subspaces of a code at most. Four give a recall of 0.6 only on 2,000 vectors of 64 components, sixteen 0.93.
 SUBSPACES = 16
 # Fixed values of the quantizer and of the graph.
 CENTROIDS, ROUNDS = 16, 6
-LINKS, BASE_LINKS, BUILD_BEAM, LEVELS, SEED = 8, 16, 64, 7, 7337331
+LINKS, BASE_LINKS, BUILD_BEAM, LEVELS = 8, 16, 64, 7
+SEED = 1
 #: Rows of one shard's graph at most.
 SHARD_ROWS = 20_000
 
@@ -42,20 +45,16 @@ def encode(x: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
 def train(rows: DataFrame, dimension: int, most: int = SUBSPACES) -> list[np.ndarray]:
     """Codebooks of (sequence, vector): begun at rows evenly apart in order of sequence, then Lloyd rounds over all rows.
 
-    A round is one pass of partial sums; the codebooks alone reach the driver. An empty cell keeps its centroid. most is the
+    Ranks come from counts by range, at any size. A round is one pass of partial sums; the codebooks alone reach the driver. An empty cell keeps its centroid. most is the
     number of subspaces: with more, codes are longer and say more.
     """
     n = rows.count()
     if not n:
         return []
     c = min(CENTROIDS, n)
-    bounds = rows.select("sequence").sort("sequence") if n <= 1 << 20 else None
-    if bounds is not None:
-        order = np.array([r[0] for r in bounds.collect()])
-        first = rows.where(F.col("sequence").isin([int(order[i * n // c]) for i in range(c)])).orderBy("sequence").select("vector").collect()
-    else:  # ranks of a large table by its quantiles
-        at = [float(x) for x in rows.approxQuantile("sequence", [i / c for i in range(c)], 0.001)]
-        first = rows.where(F.col("sequence").isin(at)).orderBy("sequence").select("vector").collect()
+    ranks = numbered(rows.select(F.col("sequence").alias("at")), -1, "at")
+    at = [r[0] for r in ranks.where(F.col("sequence").isin([i * n // c for i in range(c)])).select("at").collect()]  # c rows
+    first = rows.where(F.col("sequence").isin(at)).orderBy("sequence").select("vector").collect()
     start = np.array([r[0] for r in first], dtype=np.float64)
     books = [start[:, a:b].copy() for a, b in subspaces(dimension, most)]
     for _ in range(ROUNDS):
@@ -203,24 +202,77 @@ class Graph:
         return self._beam(q, [at], width, 0, scored or self.scores)
 
 
-def sharded(rows: DataFrame, n: int) -> DataFrame:
-    """rows and shard: so many shards of n rows that each has SHARD_ROWS at most."""
-    return rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-2 * n // SHARD_ROWS)))))
-
-
-def graph_candidates(rows: DataFrame, query, width: int, books: list[np.ndarray], metric: str, shard: str = "shard") -> DataFrame:
-    """(id, approx) of the beams of all shards of (shard, sequence, id, vector): each shard, SHARD_ROWS at most, is one group."""
-    q = np.asarray(query, dtype=np.float64)
-    tables = lookup(q, books, metric)
+    def to_bytes(self) -> bytes:
+        """The graph as it is searched: vectors, levels, and the links of each level as offsets and neighbours."""
+        parts = {"x": self.x, "top": self.top, "entry": np.array([self.entry])}
+        for level, links in enumerate(self.links):
+            own = [links.get(i, []) for i in range(len(self.x))]
+            parts[f"ends{level}"] = np.cumsum([0, *map(len, own)])
+            parts[f"near{level}"] = np.array([j for near in own for j in near], dtype=np.int32)
+        out = io.BytesIO()
+        np.savez(out, **parts)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes, metric: str) -> Graph:
+        g, parts = cls.__new__(cls), np.load(io.BytesIO(raw))
+        g.x, g.top, g.metric, g.entry = parts["x"], parts["top"], metric, int(parts["entry"][0])
+        g.norms, g.links = np.linalg.norm(g.x, axis=1), []
+        for level in range(LEVELS + 1):
+            ends, near = parts[f"ends{level}"], parts[f"near{level}"]
+            g.links.append({i: near[a:z].tolist() for i, (a, z) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if z > a})
+        return g
+
+
+def build_graphs(shards: DataFrame, metric: str, books: list[np.ndarray]) -> DataFrame:
+    """(shard, graph, codes, ids as JSON): the graph of each shard of (shard, id, sequence, vector), to be stored. A shard, SHARD_ROWS at most, is one group."""
+    kind = shards.schema["id"].dataType
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sequence")
         x = np.array(pdf["vector"].tolist(), dtype=np.float64)
-        g = Graph(x, metric)
-        found, _ = g.search(q, width, g.quantized(q, encode(x, books), tables))
-        return pd.DataFrame({"id": [pdf["id"].iloc[i] for _, i in found], "approx": [s for s, _ in found]})
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "graph": [Graph(x, metric).to_bytes()], "codes": [encode(x, books).tobytes()], "ids": [pdf["id"].tolist()]})
+
+    schema = T.StructType([shards.schema["shard"], T.StructField("graph", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("ids", T.ArrayType(kind))])
+    return shards.select("shard", "id", "sequence", "vector").groupBy("shard").applyInPandas(one, schema)
+
+
+def beams(graphs: DataFrame, queries: list[tuple], width: int, books: list[np.ndarray], metric: str, name: T.StructField) -> DataFrame:
+    """(query_id, id, approx, visited): what the beams of all stored graphs find for each of (query_id, vector); a block of queries travels to the graphs."""
+    block = graphs.sparkSession.sparkContext.broadcast(queries)
+    ids = graphs.schema["ids"].dataType.elementType
+    schema = T.StructType([T.StructField("query_id", name.dataType), T.StructField("id", ids), T.StructField("approx", T.DoubleType()), T.StructField("visited", T.LongType())])
+
+    def run(frames):
+        for f in frames:
+            for raw, codes, own in zip(f["graph"], f["codes"], f["ids"]):
+                g = Graph.from_bytes(raw, metric)
+                coded = np.frombuffer(codes, np.int8).reshape(len(own), len(books))
+                out = []
+                for query_id, q in block.value:
+                    found, seen = g.search(q, width, g.quantized(q, coded, lookup(q, books, metric)))
+                    out += [(query_id, own[i], s, seen) for s, i in found]
+                yield pd.DataFrame(out, columns=schema.names)
+
+    return graphs.select("graph", "codes", "ids").mapInPandas(run, schema)
 
-    return rows.groupBy(shard).applyInPandas(one, "id string, approx double")
+
+def search_graphs(graphs: DataFrame, query, width: int, books: list[np.ndarray], metric: str) -> DataFrame:
+    """(id, approx, visited) of the beams of all stored graphs."""
+    found = beams(graphs, [(0, np.asarray(query, dtype=np.float64))], width, books, metric, T.StructField("query_id", T.IntegerType()))
+    return found.drop("query_id")
+
+
+def exact_topk(rows: DataFrame, best: DataFrame, query, k: int, metric: str) -> DataFrame:
+    """(id, score, payload, sequence): the k best by exact score of the rows whose id best has; best is as long as the plan's rerank."""
+    exact = score(metric, literal([float(x) for x in query]), doubles(F.col("vector")))
+    survivors = rows.join(F.broadcast(best), "id", "left_semi")
+    return survivors.select("id", exact.alias("score"), "payload", "sequence").orderBy(F.desc("score"), F.desc("sequence"), "id").limit(k)
+
+
+def sharded(rows: DataFrame, n: int) -> DataFrame:
+    """rows and shard: so many shards of n rows that each has SHARD_ROWS at most."""
+    return rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-2 * n // SHARD_ROWS)))))
 
 
 def ann_topk(rows: DataFrame, query, k: int, metric: str, books: list[np.ndarray], n: int, where=None, filtered: int | None = None, graph: bool = False) -> DataFrame:
@@ -234,10 +286,9 @@ def ann_topk(rows: DataFrame, query, k: int, metric: str, books: list[np.ndarray
     matching = rows if where is None else rows.where(where)
     size = max(plan.rerank, plan.beam)
     if graph:
-        best = graph_candidates(sharded(matching, n), q, plan.beam, books, metric).orderBy(F.desc("approx"), "id").limit(size).select("id")
+        found = search_graphs(build_graphs(sharded(matching.select("id", "sequence", "vector"), n), metric, books), q, plan.beam, books, metric)
+        best = found.orderBy(F.desc("approx"), "id").limit(size).select("id")
     else:
         s = quantized_score(F.col("codes"), lookup(np.array(q), books, metric), F.col("norm"), float(np.linalg.norm(q)), metric)
         best = matching.select("id", s.alias("approx")).orderBy(F.desc("approx"), "id").limit(size).select("id")
-    survivors = matching.join(F.broadcast(best), "id", "left_semi")  # size rows at most
-    exact = score(metric, literal(q), doubles(F.col("vector")))
-    return survivors.select("id", exact.alias("score"), "payload", "sequence").orderBy(F.desc("score"), F.desc("sequence"), "id").limit(k)
+    return exact_topk(matching, best, q, k, metric)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.operators.ann import Graph, encode, lookup, sharded
+from lodestar.operators.ann import beams, build_graphs, lookup, sharded
 from lodestar.operators.search import DimensionError
 
 #: Bytes of the vectors of one block of queries, and scores that a task computes at a time.
@@ -42,9 +42,14 @@ class Best:
 
 def _matrix(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     """The vectors of that length without nulls, in double precision, and where they stand."""
-    good = [i for i, v in enumerate(column.to_pylist()) if v is not None and len(v) == dimension and None not in v]
+    good = np.flatnonzero(column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dimension)
     taken = column.take(pa.array(good, pa.int64()))
-    return taken.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), dimension), np.array(good, dtype=np.int64)
+    flat = taken.flatten()
+    if flat.null_count:
+        whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, dimension).any(axis=1)
+        good = good[whole]
+        flat = column.take(pa.array(good, pa.int64())).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), dimension), good
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -127,11 +132,11 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, metric: str = "COSINE", on:
     return _search(queries, rows, ["vector"], k, on, scorer, 6)
 
 
-def ann_knn(queries: DataFrame, rows: DataFrame, k: int, metric: str, books: list[np.ndarray], rerank: int, graph: bool = False, n: int | None = None) -> DataFrame:
+def ann_knn(queries: DataFrame, rows: DataFrame, k: int, metric: str, books: list[np.ndarray], rerank: int, graph: bool | DataFrame = False, n: int | None = None) -> DataFrame:
     """knn over the rerank candidates that quantized scores find for each query; rows: (id, sequence, vector, norm, codes).
 
-    With graph, the candidates are those of beams of width rerank through the graphs of all shards of the n rows. Each shard's graph
-    is built once for a block of queries. Candidates, rerank of them a query, join their vectors; then exact scores decide.
+    With graph, the candidates are those of beams of width rerank through the graphs of all shards of the n rows: stored ones (ann.build_graphs),
+    or True to build them for this search. Candidates, rerank of them a query, join their vectors; then exact scores decide.
     """
     dimension = sum(b.shape[1] for b in books)
 
@@ -149,8 +154,13 @@ def ann_knn(queries: DataFrame, rows: DataFrame, k: int, metric: str, books: lis
 
         return f
 
-    if graph:
-        near = _graph_candidates(queries, rows, rerank, metric, books, n)
+    if graph is not False:
+        if graph is True:
+            graph = build_graphs(sharded(rows.select("id", "sequence", "vector"), rows.count() if n is None else n), metric, books)
+        kinds = T.StructType([queries.schema["query_id"], rows.schema["id"], T.StructField("approx", T.DoubleType()), T.StructField("visited", T.LongType())])
+        parts = [beams(graph, list(zip(names, vectors)), rerank, books, metric, queries.schema["query_id"]) for names, vectors, _ in _blocks(queries, None)]
+        found = reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], kinds)
+        near = ranked(found.select("query_id", "id", F.col("approx").alias("score")), rerank)
     else:
         near = _search(queries, rows, ["codes", "norm"], rerank, None, scorer, None)
     q = queries.select("query_id", F.col("vector").alias("q"))
@@ -170,25 +180,6 @@ def ann_knn(queries: DataFrame, rows: DataFrame, k: int, metric: str, books: lis
     return ranked(pairs.select("query_id", "id", "q", "vector").mapInArrow(exact, schema), k)
 
 
-def _graph_candidates(queries: DataFrame, rows: DataFrame, width: int, metric: str, books: list[np.ndarray], n: int | None) -> DataFrame:
-    spark, parts = rows.sparkSession, []
-    kinds = T.StructType([queries.schema["query_id"], rows.schema["id"], T.StructField("score", T.DoubleType())])
-    shards = sharded(rows.select("id", "sequence", "vector"), rows.count() if n is None else n)
-    for names, vectors, _ in _blocks(queries, None):
-        block = spark.sparkContext.broadcast((names, vectors))
-
-        def one(pdf):
-            names, vectors = block.value
-            pdf = pdf.sort_values("sequence")
-            x = np.array(pdf["vector"].tolist(), dtype=np.float64)
-            g, codes, ids = Graph(x, metric), encode(x, books), pdf["id"].tolist()
-            out = [(name, ids[i], s) for name, q in zip(names, vectors) for s, i in g.search(q, width, g.quantized(q, codes, lookup(q, books, metric)))[0]]
-            return type(pdf)(out, columns=["query_id", "id", "score"])
-
-        parts.append(shards.groupBy("shard").applyInPandas(one, kinds))
-    return ranked(reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], kinds), width)
-
-
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(query_id, recall): which share of exact's rows (query_id, id) found has too."""
     both = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1.0).alias("hit")), ["query_id", "id"], "left")

@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RANGE = {"$gt": lambda a, b: a > b, "$gte": lambda a, b: a >= b, "$lt": lambda a, b: a < b, "$lte": lambda a, b: a <= b}
@@ -237,6 +237,30 @@ def compile_filter(spec: dict | Node | None, payload: Payload, mode: str = "comp
     return out if offered is None else out & offered
 
 
+def _ranges(n: Node):
+    if n.children:
+        for c in n.children:
+            yield from _ranges(c)
+    elif n.kind in RANGE and n.value is not None:
+        yield n
+
+
+def check_ranges(rows: DataFrame, spec: dict | Node | None, payload: Payload) -> None:
+    """Raise FilterError for a range over a path that holds values in rows, but none of the type of its bound. One pass for all ranges."""
+    leaves = list(_ranges(spec if isinstance(spec, Node) else parse(spec)))
+    if not leaves:
+        return
+    counts = []
+    for i, n in enumerate(leaves):
+        x = payload.at(n.path)
+        own = payload.flag(x) if isinstance(n.value, bool) else payload.text(x) if isinstance(n.value, str) else payload.number(x)
+        counts += [F.count_if(own.isNotNull()).alias(f"own{i}"), F.count_if(~payload.missing(x) & ~payload.is_null(x)).alias(f"any{i}")]
+    seen = rows.agg(*counts).first()
+    for i, n in enumerate(leaves):
+        if seen[f"any{i}"] and not seen[f"own{i}"]:
+            raise FilterError(f"{n.path} holds no value that {n.kind} {n.value!r} can be compared with")
+
+
 class FilterBuilder:
     """Clauses joined by AND, as the map that ``parse`` takes."""
 
@@ -278,5 +302,3 @@ class FilterBuilder:
 
     def build(self) -> dict:
         return {} if not self.clauses else self.clauses[0] if len(self.clauses) == 1 else {"$and": list(self.clauses)}
-
-

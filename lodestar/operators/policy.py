@@ -113,8 +113,3 @@ def source_limit(most: int, foreground: int, throttled: int = 0, quiet: int = 0)
 
 def is_slow(seconds: float, threshold_ms: float = 250.0) -> bool:
     return threshold_ms > 0 and seconds * 1000 >= threshold_ms
-
-
-def nearest_rank(values, p: float) -> float:
-    v = sorted(values)
-    return v[max(0, math.ceil(len(v) * p) - 1)]

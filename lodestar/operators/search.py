@@ -44,3 +44,26 @@ class QueryCache:
         if len(self.entries) > self.size:
             self.entries.pop(next(iter(self.entries)))
         return value, hit
+
+
+class IndexCache:
+    """Loaded index files by path, within a budget of bytes and of entries; the coldest goes first, but never the one just asked for."""
+
+    def __init__(self, budget: int = 512 << 20, most: int = 64):
+        self.budget, self.most, self.entries = budget, most, {}
+
+    def get(self, path: str, weight: int, load):
+        """(frames, whether they were here); load gives persisted frames."""
+        hit = path in self.entries
+        self.entries[path] = self.entries.pop(path) if hit else (load(), weight)
+        while len(self.entries) > 1 and (len(self.entries) > self.most or sum(w for _, w in self.entries.values()) > self.budget):
+            self._free(next(iter(self.entries)))
+        return self.entries[path][0], hit
+
+    def _free(self, path: str) -> None:
+        for frame in self.entries.pop(path)[0]:
+            frame.unpersist()
+
+    def drop(self, prefix: str) -> None:
+        for path in [p for p in self.entries if p.startswith(prefix)]:
+            self._free(path)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestar.functions.payload import footprint, merged
+from lodestar.functions.payload import dumps, footprint, merge
 
 LIVE, TOMBSTONE, PATCH = "LIVE", "TOMBSTONE", "PAYLOAD_PATCH"
 
@@ -17,19 +21,59 @@ def latest(log: DataFrame, key: str = "id", order: str = "sequence") -> DataFram
     return best.select(key, *(F.col(f"last.{c}").alias(c) for c in rest))
 
 
+def versions(log: DataFrame, *columns: str) -> DataFrame:
+    """(id, sequence, tombstone, columns) of the newest whole record of each id. Only these cross the shuffle, so leave vectors out."""
+    whole = log.where(F.col("kind") != PATCH).select("id", "sequence", (F.col("kind") == TOMBSTONE).alias("tombstone"), *columns)
+    return latest(whole)
+
+
 def resolve(log: DataFrame) -> DataFrame:
     """(id, sequence, tombstone, vector, norm, payload) of each id: its newest whole record, under the patches after it in order.
 
     Patches of an id without a live record, or older than it, have no effect.
     """
     whole = latest(log.where(F.col("kind") != PATCH)).withColumnsRenamed({"sequence": "base"})
-    patches = log.where(F.col("kind") == PATCH).select("id", "sequence", F.col("payload").alias("patch"))
-    after = patches.join(whole.where(F.col("kind") == LIVE).select("id", "base"), "id").where(F.col("sequence") > F.col("base"))
-    folded = after.groupBy("id").agg(F.max("sequence").alias("patched"), F.array_sort(F.collect_list(F.struct("sequence", "patch"))).alias("p"))
-    folded = folded.select("id", "patched", F.col("p.patch").alias("patches"))
-    out = whole.join(folded, "id", "left")
-    payload = F.when(F.col("patches").isNotNull(), merged("payload", "patches")).otherwise(F.col("payload"))
-    return out.select("id", F.coalesce("patched", "base").alias("sequence"), (F.col("kind") == TOMBSTONE).alias("tombstone"), "vector", "norm", payload.alias("payload"))
+    patches = log.where(F.col("kind") == PATCH).select("id", "sequence", "payload")
+    bases = whole.where(F.col("kind") == LIVE).select("id", F.col("base").alias("sequence"), "payload").join(patches.select("id").distinct(), "id", "left_semi")
+    folded = folded_patches(bases.withColumn("whole", F.lit(True)).unionByName(patches.withColumn("whole", F.lit(False))))
+    out = whole.join(folded.withColumnsRenamed({"sequence": "patched", "payload": "merged"}), "id", "left")
+    return out.select("id", F.coalesce("patched", "base").alias("sequence"), (F.col("kind") == TOMBSTONE).alias("tombstone"), "vector", "norm", F.coalesce("merged", "payload").alias("payload"))
+
+
+def folded_patches(rows: DataFrame) -> DataFrame:
+    """(id, sequence, payload) of each id whose newest whole payload has patches after it: that payload under them, in order.
+
+    rows: (id, sequence, payload, whole). An id's rows stream through one task in order of sequence, which holds one payload at a time and no
+    list of patches; payloads of records without patches aren't parsed.
+    """
+    kind = rows.schema["id"].dataType
+
+    def run(batches):
+        last = base = None
+        sequence, patched = 0, False
+        for b in batches:
+            out: list[tuple] = []
+            for i, at, text, whole in zip(*(b.column(c).to_pylist() for c in range(4))):
+                if i != last:
+                    if patched:
+                        out.append((last, sequence, dumps(base)))
+                    last, base, patched = i, None, False
+                if whole:
+                    base, patched = text, False
+                elif base is not None and text is not None:
+                    base = merge(base if patched else json.loads(base), json.loads(text))
+                    sequence, patched = at, True
+            if out:
+                yield batch(out)
+        if patched:
+            yield batch([(last, sequence, dumps(base))])
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(x) if n else pa.array(x, names_type) for n, x in enumerate(zip(*out))], names=["id", "sequence", "payload"])
+
+    names_type = pa.string() if kind.simpleString() == "string" else pa.int64()
+    ordered = rows.select("id", "sequence", "payload", "whole").repartition("id").sortWithinPartitions("id", "sequence")
+    return ordered.mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("sequence", T.LongType()), T.StructField("payload", T.StringType())]))
 
 
 def live(state: DataFrame) -> DataFrame:

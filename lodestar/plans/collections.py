@@ -5,16 +5,22 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions.payload import merge
-from lodestar.operators import ann, policy, state
-from lodestar.operators.filters import Payload, compile_filter
-from lodestar.operators.search import DimensionError, QueryCache, topk
+from lodestar.functions.scoring import doubles, literal, score
+from lodestar.operators import ann, payload_index, policy, state
+from lodestar.operators.filters import Payload, check_ranges, compile_filter
+from lodestar.operators.search import DimensionError, IndexCache, QueryCache
+from lodestar.plans.spi import Observer, Searcher
 
 LOG = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("sequence", T.LongType()), T.StructField("kind", T.StringType()),
@@ -34,6 +40,14 @@ class QuotaExceeded(RuntimeError):
     """A tenant's limit would be passed (409)."""
 
 
+class Conflict(RuntimeError):
+    """Another writer committed first, again and again (409)."""
+
+
+class DamagedPart(RuntimeError):
+    """A generation that can't be read as it was written, and whose batches are gone."""
+
+
 class Files:
     """Small files in any file system that Spark reaches; a rename makes a write visible."""
 
@@ -54,7 +68,8 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, value: dict) -> None:
+    def write(self, path: str, value: dict, new: bool = False) -> bool:
+        """Make the file in one step: at no time is there half of it. With new, False if it is there already, and it stays as it is."""
         fs, p = self._at(path)
         tmp = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
         stream = fs.create(tmp, True)
@@ -62,8 +77,20 @@ class Files:
         stream.close()
         rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
         how = self.spark.sparkContext._gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE  # in one step: at no time is there no file
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, p, how)
+        how[0] = rename.NONE if new else rename.OVERWRITE
+        try:
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, p, how)
+        except Py4JJavaError as e:
+            fs.delete(tmp, False)
+            if new and "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def move(self, source: str, target: str) -> None:
+        (fs, p), (_, q) = self._at(source), self._at(target)
+        fs.mkdirs(q.getParent())
+        fs.rename(p, q)
 
     def names(self, path: str) -> list[str]:
         fs, p = self._at(path)
@@ -88,7 +115,14 @@ class Files:
 
 
 class Collection:
-    """One collection. Each change writes a batch, then commits it by replacing the manifest; readers see committed batches only."""
+    """One collection. Each change writes a part, then commits it with the manifest of the next version, which only one writer can make.
+
+    Readers see committed parts only. Parts that a change replaces stay for KEPT versions more, for readers that began before, and
+    for recovery. Batches hold mutations as they came; generations hold whole records, sorted by sequence, with the values of promoted
+    paths as typed columns.
+    """
+
+    KEPT, ATTEMPTS = 3, 8
 
     def __init__(self, db: Database, tenant: str, name: str, path: str | None = None):
         self.db, self.tenant, self.name, self.spark = db, tenant, name, db.spark
@@ -98,63 +132,132 @@ class Collection:
 
     @property
     def manifest(self) -> dict:
-        m = self.db.files.read(f"{self.path}/manifest.json")
+        names = [n for n in self.db.files.names(f"{self.path}/manifests") if n.endswith(".json")]
+        m = self.db.files.read(f"{self.path}/manifests/{names[-1]}") if names else None
         if m is None:
             raise NotFound(f"no collection {self.name} of {self.tenant}")
         return m
 
-    def _commit(self, m: dict) -> None:
+    def _commit(self, m: dict, dropped: list[dict] = ()) -> bool:
+        """Whether m has become the next version; dropped are parts that it no longer names."""
         m["version"] += 1
-        self.db.files.write(f"{self.path}/manifest.json", m)
+        m["garbage"] += [[p["name"], m["version"]] for p in dropped]
+        old = [x for x in m["garbage"] if x[1] <= m["version"] - self.KEPT]
+        m["garbage"] = [x for x in m["garbage"] if x not in old]
+        if not self.db.files.write(f"{self.path}/manifests/{m['version']:020d}.json", m, new=True):
+            return False
+        for name, _ in old:
+            self.db.files.delete(f"{self.path}/{name}")
+        self.db.files.delete(f"{self.path}/manifests/{m['version'] - 4 * self.KEPT:020d}.json")
+        return True
 
-    def log(self) -> DataFrame:
-        m = self.manifest
-        parts = [f"{self.path}/{p}" for p in m["generations"] + m["batches"]]
-        return self.spark.read.schema(LOG).parquet(*parts) if parts else self.spark.createDataFrame([], LOG)
+    def _write(self, rows: DataFrame, name: str, columns: list[str] = ()) -> dict:
+        """Write rows as a part; its number of rows and its checksum are taken in the same pass."""
+        seen = Observation()
+        rows = rows.select(*LOG.names, *([payload_index.fields(F.col("payload"), list(columns)).alias("fields")] if columns else []))
+        rows.observe(seen, *self._sums()).write.option("parquet.bloom.filter.enabled#id", "true").parquet(f"{self.path}/{name}")
+        return {"name": name, "columns": list(columns), **seen.get}
+
+    @staticmethod
+    def _sums() -> list[Column]:
+        return [F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*LOG.names)), F.lit(0)).alias("hash"), F.count_if(F.col("kind") == state.TOMBSTONE).alias("tombstones"), F.count_if(F.col("kind") == state.PATCH).alias("patches")]
+
+    def _read(self, parts: list[dict]) -> DataFrame:
+        return self.spark.read.schema(LOG).parquet(*(f"{self.path}/{p['name']}" for p in parts)) if parts else self.spark.createDataFrame([], LOG)
+
+    def log(self, m: dict | None = None) -> DataFrame:
+        m = m or self.manifest
+        return self._read(m["generations"] + m["batches"])
+
+    @staticmethod
+    def _folded(m: dict) -> bool:
+        """Whether there is one part of live records only, which needs no folding."""
+        return not m["batches"] and len(m["generations"]) == 1 and not m["generations"][0]["tombstones"]
 
     def state(self) -> DataFrame:
         return state.resolve(self.log())
 
-    def live(self) -> DataFrame:
-        return state.live(self.state())
-
-    def _append(self, rows: DataFrame, base: int, taken: int, mutations: int) -> None:
-        m = self.manifest
-        name = f"batches/{base + 1:020d}-{uuid.uuid4().hex[:8]}"
-        rows.select(*LOG.names).write.parquet(f"{self.path}/{name}")
-        m["batches"].append(name)
-        m["sequence"] = base + taken
-        m["pending"] += mutations
-        self._commit(m)
-        if self.db.auto:
-            self._maintain()
+    def live(self, m: dict | None = None) -> DataFrame:
+        """(id, sequence, vector, norm, payload) of all live records."""
+        m = m or self.manifest
+        return self.log(m).drop("kind") if self._folded(m) else state.live(state.resolve(self.log(m)))
+
+    def _alive(self, m: dict) -> DataFrame:
+        """(id, sequence) of the newest live record of each id, patches aside: no vectors and payloads are read."""
+        if self._folded(m):
+            return self.log(m).select("id", "sequence")
+        return state.versions(self.log(m)).where(~F.col("tombstone")).select("id", "sequence")
+
+    def get(self, *ids: str) -> dict[str, dict]:
+        """The live records of these ids, by id; bloom filters of the parts pass over those without them."""
+        rows = state.live(state.resolve(self.log().where(F.col("id").isin([i.strip() for i in ids])))).collect()
+        return {r.id: {"id": r.id, "sequence": r.sequence, "vector": r.vector, "payload": r.payload} for r in rows}
+
+    def _append(self, make: Callable[[int], DataFrame], taken: int, mark: tuple[str, int] | None = None) -> dict | None:
+        """Commit the rows that make gives for a base sequence, which uses taken sequences. If another writer was first, again on its version.
+
+        mark: a stream and the number of its batch, committed with the rows; a batch that the stream has passed is left out.
+        """
+        for _ in range(self.ATTEMPTS):
+            m = self.manifest
+            if mark:
+                if m["streams"].get(mark[0], -1) >= mark[1]:
+                    return None
+                m["streams"][mark[0]] = mark[1]
+            part = self._write(make(m["sequence"]), f"batches/{m['sequence'] + 1:020d}-{uuid.uuid4().hex[:8]}")
+            m["batches"].append(part)
+            m["sequence"] += taken
+            m["pending"] += taken
+            if self._commit(m):
+                self.db.observer.mutated(self, part["rows"])
+                if self.db.auto:
+                    self._maintain()
+                return part
+            self.db.files.delete(f"{self.path}/{part['name']}")
+        raise Conflict(f"{self.name}: {self.ATTEMPTS} commits failed")
+
+    def _debt(self, m: dict) -> tuple[int, int]:
+        """Tombstones and replaced records among the pending mutations (at most: ids aren't compared)."""
+        return sum(b["tombstones"] for b in m["batches"]), sum(b["patches"] for b in m["batches"])
 
     def _maintain(self) -> None:
         m = self.manifest
-        limit = policy.flush_bytes(m["flush_bytes"], m["pending"], m["pending"], 0, 0, m["dimension"])
-        held = sum(self.db.files.size(f"{self.path}/{b}") for b in m["batches"])
-        if m["batches"] and (held >= limit or m["pending"] >= policy.flush_mutations(m["dimension"])):
+        tombstones, stale = self._debt(m)
+        limit = policy.flush_bytes(m["flush_bytes"], m["pending"], m["pending"], tombstones, stale, m["dimension"])
+        held = sum(self.db.files.size(f"{self.path}/{b['name']}") for b in m["batches"])
+        if m["batches"] and (held >= limit or m["pending"] >= policy.flush_mutations(m["dimension"], m["pending"], tombstones, stale)):
             self.flush()
             s = self.stats()
             if policy.should_compact(s["segment_count"], False, s["persisted_tombstones"], s["persisted"] - s["live_vector_count"] - s["persisted_tombstones"], s["live_vector_count"], s["tombstone_count"]):
                 self.compact()
 
-    def upsert(self, rows: DataFrame) -> int:
-        """Add or replace rows (id, vector, payload as JSON text[, pos]); of an id that comes twice the last by pos stays. All or nothing."""
-        m = self.manifest
+    def upsert(self, rows: DataFrame, mark: tuple[str, int] | None = None) -> int:
+        """Add or replace rows (id, vector, payload as JSON text[, pos]); of an id that comes twice the last by pos stays. All or nothing.
+
+        The rows are written once, with their places, before anything is counted or numbered; so input that comes out otherwise when it is
+        computed again does no harm. Live ids are looked up only where a quota asks for them.
+        """
+        m, path = self.manifest, f"{self.path}/incoming/{uuid.uuid4().hex}"
         rows = rows.select(F.trim("id").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.coalesce("payload", F.lit("{}")).alias("payload"), F.col("pos") if "pos" in rows.columns else F.monotonically_increasing_id().alias("pos"))
         bad = F.coalesce(F.col("id") == "", F.lit(True)) | F.col("vector").isNull() | F.exists("vector", lambda x: x.isNull())
         wrong = F.coalesce(F.size("vector") != m["dimension"], F.lit(True))
-        seen = rows.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(wrong).alias("wrong")).first()
-        if not seen.n:
-            raise ValidationError("no vectors")
-        if seen.bad or seen.wrong:
-            raise ValidationError(f"{seen.bad} rows without id or vector, {seen.wrong} of another dimension than {m['dimension']}")
-        self.db.check_quota(self.tenant, rows=state.additional_live(rows, self.live()).first()[0])
-        v = F.col("vector").cast("array<double>")
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)).cast("float")
-        self._append(state.numbered(rows, m["sequence"], "pos").select("id", "sequence", F.lit(state.LIVE).alias("kind"), "vector", norm.alias("norm"), "payload"), m["sequence"], seen.n, seen.n)
-        return seen.n
+        seen = Observation()
+        try:
+            rows.observe(seen, F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(wrong).alias("wrong")).write.parquet(path)
+            n = seen.get["n"]
+            if not n:
+                raise ValidationError("no vectors")
+            if seen.get["bad"] or seen.get["wrong"]:
+                raise ValidationError(f"{seen.get['bad']} rows without id or vector, {seen.get['wrong']} of another dimension than {m['dimension']}")
+            own = self.spark.read.schema(rows.schema).parquet(path)
+            if self.tenant in self.db.quotas:
+                self.db.check_quota(self.tenant, rows=state.additional_live(own, self._alive(m)).first()[0], storage=self.db.files.size(path))
+            v = F.col("vector").cast("array<double>")
+            norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)).cast("float")
+            self._append(lambda base: state.numbered(own, base, "pos").select("id", "sequence", F.lit(state.LIVE).alias("kind"), "vector", norm.alias("norm"), "payload"), n, mark)
+        finally:
+            self.db.files.delete(path)
+        return n
 
     def upsert_records(self, records) -> int:
         """records: dicts with id, vector and maybe payload."""
@@ -163,27 +266,34 @@ class Collection:
             raise ValidationError("no vectors")
         return self.upsert(self.spark.createDataFrame(data, "id string, vector array<float>, payload string, pos long"))
 
-    def _small(self, rows: list[tuple], base: int) -> None:
-        self._append(self.spark.createDataFrame(rows, LOG), base, len(rows), len(rows))
+    def _known(self, ids) -> set[str]:
+        m = self.manifest
+        narrow = self.log(m).where(F.col("id").isin(list(ids)))
+        return {r[0] for r in state.versions(narrow).where(~F.col("tombstone")).select("id").collect()}
 
     def delete(self, ids) -> int:
         """Delete a request's ids; unknown and deleted ones take no sequence."""
         wanted = list(dict.fromkeys(i.strip() for i in ids))
         if not wanted or "" in wanted:
             raise ValidationError("ids must be given and not blank")
-        known = {r[0] for r in self.live().where(F.col("id").isin(wanted)).select("id").collect()}
-        gone, base = [i for i in wanted if i in known], self.manifest["sequence"]
+        known = self._known(wanted)
+        gone = [i for i in wanted if i in known]
         if gone:
-            self._small([(i, base + 1 + k, state.TOMBSTONE, None, None, None) for k, i in enumerate(gone)], base)
+            self._append(lambda base: self.spark.createDataFrame([(i, base + 1 + k, state.TOMBSTONE, None, None, None) for k, i in enumerate(gone)], LOG), len(gone))
         return len(gone)
 
     def delete_rows(self, ids: DataFrame) -> int:
         """Delete a table of ids, distributed."""
-        gone = ids.select(F.trim("id").alias("id")).distinct().join(self.live().select("id"), "id", "left_semi")
-        n, base = gone.count(), self.manifest["sequence"]
-        if n:
+        path = f"{self.path}/incoming/{uuid.uuid4().hex}"
+        try:
+            ids.select(F.trim("id").alias("id")).distinct().join(self._alive(self.manifest).select("id"), "id", "left_semi").write.parquet(path)
+            gone = self.spark.read.schema("id string").parquet(path)
+            n = gone.count()
             none = lambda t: F.lit(None).cast(t)
-            self._append(state.numbered(gone, base, "id").select("id", "sequence", F.lit(state.TOMBSTONE).alias("kind"), none("array<float>").alias("vector"), none("float").alias("norm"), none("string").alias("payload")), base, n, n)
+            if n:
+                self._append(lambda base: state.numbered(gone, base, "id").select("id", "sequence", F.lit(state.TOMBSTONE).alias("kind"), none("array<float>").alias("vector"), none("float").alias("norm"), none("string").alias("payload")), n)
+        finally:
+            self.db.files.delete(path)
         return n
 
     def partial_update(self, updates) -> int:
@@ -194,110 +304,289 @@ class Collection:
             folded[record_id] = merge(folded[record_id], patch) if record_id in folded else dict(patch or {})
             if not folded[record_id]:
                 raise ValidationError("payload must not be empty")
-        known = {r[0] for r in self.live().where(F.col("id").isin(list(folded))).select("id").collect()}
+        known = self._known(folded)
         if missing := [i for i in folded if i not in known]:
             raise ValidationError(f"no live vector {missing[0]}")
-        base = self.manifest["sequence"]
-        self._small([(i, base + 1 + k, state.PATCH, None, None, json.dumps(p, ensure_ascii=False, separators=(",", ":"))) for k, (i, p) in enumerate(folded.items())], base)
+        text = {i: json.dumps(p, ensure_ascii=False, separators=(",", ":")) for i, p in folded.items()}
+        self._append(lambda base: self.spark.createDataFrame([(i, base + 1 + k, state.PATCH, None, None, p) for k, (i, p) in enumerate(text.items())], LOG), len(folded))
         return len(folded)
 
-    def search(self, vector, k: int, where: dict | None = None, mode: str = "compat", approximate: bool = False) -> list[dict]:
-        """The k best live rows as dicts (id, score, payload, sequence); answers are remembered until the next change."""
+    def matching(self, m: dict, where: dict | None, mode: str = "compat") -> DataFrame:
+        """Whole records (id, sequence, vector, norm) that pass the filter, of any version. Parts with promoted columns are read by these first."""
+        groups: dict[tuple, list[dict]] = {}
+        for p in m["generations"] + m["batches"]:
+            groups.setdefault(tuple(p["columns"]), []).append(p)
+        out = []
+        for columns, parts in groups.items():
+            paths = [f"{self.path}/{p['name']}" for p in parts]
+            schema = LOG if not columns else T.StructType([*LOG.fields, T.StructField("fields", payload_index.fields_type(list(columns)))])
+            rows = self.spark.read.schema(schema).parquet(*paths).where(F.col("kind") == state.LIVE)
+            first = payload_index.implied(where, list(columns)) if columns and where else None
+            rows = rows if first is None else rows.where(first)
+            out.append((rows.where(compile_filter(where, Payload(F.parse_json("payload")), mode)) if where else rows).select("id", "sequence", "vector", "norm"))
+        return reduce(DataFrame.unionByName, out) if out else self.spark.createDataFrame([], LOG).select("id", "sequence", "vector", "norm")
+
+    def ranked(self, vector, k: int, where: dict | None = None, mode: str = "compat", m: dict | None = None) -> DataFrame:
+        """(id, score, sequence) of the k best live rows by exact score.
+
+        Scores are taken where the rows are read, and only (id, sequence, score) meet the latest versions; vectors never cross a shuffle. Ids
+        with patches that no flush has folded yet are resolved by themselves.
+        """
+        m = m or self.manifest
+        q, length = literal(vector), F.lit(sum(float(x) * float(x) for x in vector) ** 0.5)
+        own = score(m["metric"], q, doubles(F.col("vector")), length, F.col("norm").cast("double")).alias("score")
+        rows = self.matching(m, where, mode).select("id", "sequence", own)
+        if not self._folded(m):
+            rows = rows.join(self._alive(m), ["id", "sequence"], "left_semi")
+        if any(b["patches"] for b in m["batches"]):
+            log = self.log(m)
+            patched = self._read([b for b in m["batches"] if b["patches"]]).where(F.col("kind") == state.PATCH).select("id").distinct()
+            again = state.live(state.resolve(log.join(patched, "id", "left_semi")))
+            again = again.where(compile_filter(where, Payload(F.parse_json("payload")), mode)) if where else again
+            rows = rows.join(patched, "id", "left_anti").unionByName(again.select("id", "sequence", own))
+        return rows.select("id", "score", "sequence").orderBy(F.desc("score"), F.desc("sequence"), F.asc("id")).limit(k)
+
+    def search(self, vector, k: int, where: dict | None = None, mode: str = "compat", approximate: bool = False, searcher: Searcher | None = None, check_types: bool = False) -> list[dict]:
+        """The k best live rows as dicts (id, score, payload, sequence); answers are remembered until the next change.
+
+        check_types: a range over a path that holds values, but none of the bound's type, raises FilterError (a pass over the payloads);
+        without it such a range is false.
+        """
         m = self.manifest
         if len(vector) != m["dimension"]:
             raise DimensionError(f"a query of {len(vector)} for vectors of {m['dimension']}")
-        key = (tuple(vector), k, json.dumps(where, sort_keys=True), mode, approximate)
-
+        if k <= 0:
+            raise ValidationError("k must be positive")
+        key = (tuple(vector), k, json.dumps(where, sort_keys=True), mode, approximate, type(searcher).__name__)
         began, self.last_search = time.time(), {"mode": "EXACT", "top_k": k}
+        if check_types and where:
+            check_ranges(self.log(m).where(F.col("kind") == state.LIVE), where, Payload(F.parse_json("payload")))
 
         def make():
-            if approximate:
-                rows, books, n = self.indexed()
-                match = compile_filter(where, Payload(F.parse_json("payload")), mode) if where else None
-                left = rows.where(match).count() if match is not None else None
-                plan = policy.plan_search(n, k, left, n > policy.ANN_LEAST_ROWS)
-                self.last_search |= {"mode": plan.mode, "total": n, "filtered": n if left is None else left, "beam": plan.beam, "rerank": plan.rerank}
-                if plan.mode == "APPROXIMATE":
-                    return [r.asDict() for r in ann.ann_topk(rows, vector, k, m["metric"], books, n, match, left).collect()]
-            rows = self.live()
-            match = compile_filter(where, Payload(F.parse_json("payload")), mode) if where else None
-            return [r.asDict() for r in topk(rows, vector, k, m["metric"], match, m["dimension"]).collect()]
+            if searcher is not None:
+                return searcher.search(self, vector, k, where, mode)
+            return (approximate and self._approximate(m, vector, k, where, mode)) or self.exact(m, vector, k, where, mode)
 
         found, hit = self.cache.get(m["version"], key, make)
         took = time.time() - began
         self.last_search |= {"cache_hit": hit, "seconds": took, "slow": policy.is_slow(took)}
+        self.db.observer.searched(self, self.last_search)
+        return found
+
+    def exact(self, m: dict, vector, k: int, where: dict | None, mode: str) -> list[dict]:
+        """Rank without payloads, then look these up for the k survivors alone."""
+        began = time.time()
+        best = self.ranked(vector, k, where, mode, m).collect()
+        middle = time.time()
+        payloads = {i: x["payload"] for i, x in self.get(*(r.id for r in best)).items()} if best else {}
+        self.last_search |= {"mode": "EXACT", "returned": len(best), "score_seconds": middle - began, "payload_seconds": time.time() - middle}
+        return [{"id": r.id, "score": r.score, "payload": payloads.get(r.id), "sequence": r.sequence} for r in best]
+
+    def _approximate(self, m: dict, vector, k: int, where: dict | None, mode: str) -> list[dict] | None:
+        began = time.time()
+        rows, graphs, books, n, hit = self.indexed()
+        match = compile_filter(where, Payload(F.parse_json("payload")), mode) if where else None
+        left = rows.where(match).count() if match is not None else None
+        plan = policy.plan_search(n, k, left, n > policy.ANN_LEAST_ROWS)
+        self.last_search |= {"mode": plan.mode, "total": n, "filtered": n if left is None else left, "beam": plan.beam, "rerank": plan.rerank, "index_cache_hit": hit}
+        if plan.mode != "APPROXIMATE":
+            return None
+        middle = time.time()
+        if graphs is not None and match is None:
+            near = ann.search_graphs(graphs, vector, plan.beam, books, m["metric"])
+            size = max(plan.rerank, plan.beam)
+            best = near.orderBy(F.desc("approx"), "id").limit(size)
+            found = [r.asDict() for r in ann.exact_topk(rows, best.select("id"), vector, k, m["metric"]).collect()]
+            visited = near.agg(F.max("visited").alias("v")).first().v if self.db.trace else None
+        else:
+            found = [r.asDict() for r in ann.ann_topk(rows, vector, k, m["metric"], books, n, match, left).collect()]
+            visited = n if left is None else left
+        self.last_search |= {"scored": visited, "reranked": max(plan.rerank, plan.beam), "returned": len(found), "plan_seconds": middle - began, "search_seconds": time.time() - middle}
         return found
 
-    def indexed(self) -> tuple[DataFrame, list, int]:
-        """Live rows with codes, codebooks and number of rows of this version; written once, and again where what is there doesn't fit."""
+    #: Format of the index files; others are written anew.
+    INDEX_FORMAT = 2
+
+    def indexed(self) -> tuple[DataFrame, DataFrame | None, list, int, bool]:
+        """Live rows with codes, stored graphs, codebooks, number of rows, and whether they were in the cache.
+
+        They are written once for a version, and again where what is there doesn't fit (format, dimension, metric, number of rows). Rows that are
+        too few for the approximate mode get neither codes nor graphs.
+        """
         m, files = self.manifest, self.db.files
         path = f"{self.path}/index/{m['version']:020d}"
         made = files.read(f"{path}/index.json")
-        if made is None or (made["dimension"], made["metric"]) != (m["dimension"], m["metric"]):
+        if made is not None:
+            rows = self.spark.read.parquet(f"{path}/rows")
+            if (made.get("format"), made["dimension"], made["metric"]) != (self.INDEX_FORMAT, m["dimension"], m["metric"]) or rows.count() != made["count"]:
+                made = None
+        if made is None:
             self.evict()
-            self.live().write.parquet(f"{path}/live")  # folded once, read by every round of training
-            rows = self.spark.read.parquet(f"{path}/live")
-            books = ann.train(rows.select("sequence", "vector"), m["dimension"])
+            live = f"{path}/live"  # folded once, read by every round of training
+            self.live(m).write.parquet(live)
+            rows = self.spark.read.parquet(live)
+            n = rows.count()
+            books = ann.train(rows.select("sequence", "vector"), m["dimension"]) if n > policy.ANN_LEAST_ROWS else []
             (ann.with_codes(rows, books) if books else rows.withColumn("codes", F.lit(None).cast("array<tinyint>"))).write.parquet(f"{path}/rows")
-            made = {"dimension": m["dimension"], "metric": m["metric"], "count": rows.count(), "books": [b.tolist() for b in books]}
-            files.delete(f"{path}/live")
+            if books:
+                ann.build_graphs(ann.sharded(rows.select("id", "sequence", "vector"), n), m["metric"], books).write.parquet(f"{path}/graphs")
+            made = {"format": self.INDEX_FORMAT, "dimension": m["dimension"], "metric": m["metric"], "count": n, "books": [b.tolist() for b in books]}
+            files.delete(live)
             files.write(f"{path}/index.json", made)
-        return self.spark.read.parquet(f"{path}/rows"), [np.array(b) for b in made["books"]], made["count"]
+
+        def load():
+            rows = self.spark.read.parquet(f"{path}/rows").persist()
+            graphs = self.spark.read.parquet(f"{path}/graphs").persist() if made["books"] else None
+            return [x for x in (rows, graphs) if x is not None]
+
+        frames, hit = self.db.indexes.get(path, files.size(path), load)
+        return frames[0], frames[1] if len(frames) > 1 else None, [np.array(b) for b in made["books"]], made["count"], hit
 
     def warm(self) -> None:
         self.indexed()
 
     def evict(self) -> None:
+        self.db.indexes.drop(f"{self.path}/index/")
         self.db.files.delete(f"{self.path}/index")
 
-    def _write_generation(self, rows: DataFrame, m: dict) -> str | None:
-        name = f"generations/{m['next_generation']:020d}"
+    def close(self) -> None:
+        """Give up what is cached; the files stay."""
+        self.db.indexes.drop(f"{self.path}/index/")
+        self.cache = QueryCache()
+
+    def postings(self) -> DataFrame:
+        """(path, value, id, sequence) of the live payloads of this version, sorted by path and value; written once."""
+        m, files = self.manifest, self.db.files
+        path = f"{self.path}/postings/{m['version']:020d}"
+        if not files.exists(f"{path}/_SUCCESS"):
+            files.delete(f"{self.path}/postings")
+            posted = payload_index.postings(self.live(m), ["id", "sequence"])
+            posted.repartitionByRange("path", "value").sortWithinPartitions("path", "value").write.option("parquet.bloom.filter.enabled#value", "true").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def candidates(self, where: dict | None) -> int | None:
+        """How many live rows the postings offer for a filter; None where they can't tell."""
+        found = payload_index.candidates(self.postings(), where, ["id"])
+        return None if found is None else found.count()
+
+    def promote(self, *paths: str) -> None:
+        """Keep the values of these payload paths as typed columns, in all generations written from now on (compact rewrites the older ones)."""
+        for _ in range(self.ATTEMPTS):
+            m = self.manifest
+            m["columns"] = list(dict.fromkeys([*m["columns"], *paths]))
+            if self._commit(m):
+                return
+        raise Conflict(f"{self.name}: {self.ATTEMPTS} commits failed")
+
+    def _generation(self, rows: DataFrame, m: dict, size: int) -> dict | None:
+        """Write rows as a generation, sorted by sequence; None (and nothing stays) if there are none."""
+        name = f"generations/{m['next_generation']:020d}-{uuid.uuid4().hex[:8]}"
         m["next_generation"] += 1
-        rows.select(*LOG.names).repartition(-(-(m["pending"] or 1) // 1_000_000)).sortWithinPartitions("sequence").write.parquet(f"{self.path}/{name}")
-        return name if self.spark.read.schema(LOG).parquet(f"{self.path}/{name}").limit(1).count() else None
+        rows = rows.select(*LOG.names).repartitionByRange(max(1, -(-size // 1_000_000)), "sequence").sortWithinPartitions("sequence")
+        part = self._write(rows, name, m["columns"])
+        if part["rows"]:
+            return part
+        self.db.files.delete(f"{self.path}/{name}")
+        return None
 
     def flush(self) -> bool:
         """Fold the batches since the last flush into one generation; tombstones stay, as older generations may hold the id."""
-        m = self.manifest
-        if not m["batches"]:
-            return False
-        touched = self.spark.read.schema(LOG).parquet(*(f"{self.path}/{b}" for b in m["batches"])).select("id").distinct()
-        now = self.state().join(touched, "id", "left_semi")
-        rows = now.withColumn("kind", F.when(F.col("tombstone"), state.TOMBSTONE).otherwise(state.LIVE))
-        name, old = self._write_generation(rows, m), m["batches"]
-        m["generations"] += [name] if name else []
-        m["batches"], m["pending"] = [], 0
-        self._commit(m)
-        for b in old:
-            self.db.files.delete(f"{self.path}/{b}")
-        return True
+        for _ in range(self.ATTEMPTS):
+            m = self.manifest
+            if not m["batches"]:
+                return False
+            pending = self._read(m["batches"])
+            if any(b["patches"] for b in m["batches"]):  # their records may stand in older generations
+                pending = self.log(m).join(pending.select("id").distinct(), "id", "left_semi")
+            rows = state.resolve(pending).withColumn("kind", F.when(F.col("tombstone"), state.TOMBSTONE).otherwise(state.LIVE))
+            part, old = self._generation(rows, m, m["pending"]), m["batches"]
+            m["generations"] += [part | {"batches": old}] if part else []
+            m["batches"], m["pending"] = [], 0
+            if self._commit(m, old):
+                self.db.observer.flushed(self)
+                return True
+            if part:
+                self.db.files.delete(f"{self.path}/{part['name']}")
+        raise Conflict(f"{self.name}: {self.ATTEMPTS} commits failed")
 
     def compact(self) -> bool:
         """Rewrite two or more generations as one of live rows, or none; pending batches are flushed before."""
         self.flush()
-        m = self.manifest
-        if len(m["generations"]) < 2 and not (m["generations"] and self.stats()["persisted_tombstones"]):
+        for _ in range(self.ATTEMPTS):
+            m = self.manifest
+            old = m["generations"]
+            if len(old) < 2 and not any(g["tombstones"] or g["columns"] != m["columns"] for g in old):
+                return False
+            part = self._generation(state.live(state.resolve(self._read(old))).withColumn("kind", F.lit(state.LIVE)), m, sum(g["rows"] for g in old))
+            m["generations"] = [part] if part else []
+            if m["batches"]:  # written meanwhile; they come after what was compacted
+                pass
+            if self._commit(m, old):
+                self.db.observer.compacted(self)
+                return True
+            if part:
+                self.db.files.delete(f"{self.path}/{part['name']}")
+        raise Conflict(f"{self.name}: {self.ATTEMPTS} commits failed")
+
+    def sound(self, part: dict) -> bool:
+        """Whether a part reads as it was written: number of rows and checksum."""
+        try:
+            r = self._read([part]).agg(*self._sums()).first()
+        except (PySparkException, Py4JJavaError):
             return False
-        old = m["generations"]
-        name = self._write_generation(self.live().withColumn("kind", F.lit(state.LIVE)), m)
-        m["generations"] = [name] if name else []
-        self._commit(m)
-        for g in old:
-            self.db.files.delete(f"{self.path}/{g}")
-        return True
+        return (r.rows, r.hash) == (part["rows"], part["hash"])
+
+    def recover(self) -> dict:
+        """Check all parts; what is damaged goes to quarantine, and what no version names is deleted.
+
+        A damaged generation is replaced by the batches it was made of, if these are still there and sound; else DamagedPart is
+        raised and nothing is changed. The log of batches ends before the first damaged one.
+        """
+        m, files, changed = self.manifest, self.db.files, False
+        moved, generations, batches = [], [], []
+        for g in m["generations"]:
+            if self.sound(g):
+                generations.append(g)
+                continue
+            source = g.get("batches")
+            if not source or not all(self.sound(b) for b in source):
+                raise DamagedPart(f"{self.name}: {g['name']}")
+            moved.append(g)
+            batches += source
+        tail = None
+        for b in m["batches"]:
+            if tail is None and not self.sound(b):
+                tail = b["name"]
+            (batches if tail is None else moved).append(b)
+        if moved:
+            back = {b["name"] for b in batches}
+            m |= {"generations": generations, "batches": batches, "pending": sum(b["rows"] for b in batches), "garbage": [x for x in m["garbage"] if x[0] not in back]}
+            changed = self._commit(m)
+            for p in moved if changed else ():
+                if files.exists(f"{self.path}/{p['name']}"):
+                    files.move(f"{self.path}/{p['name']}", f"{self.path}/quarantine/{p['name']}")
+        named = {p["name"] for p in m["generations"] + m["batches"]} | {x[0] for x in m["garbage"]}
+        orphans = [f"{d}/{n}" for d in ("batches", "generations") for n in files.names(f"{self.path}/{d}") if f"{d}/{n}" not in named]
+        for name in orphans:
+            files.delete(f"{self.path}/{name}")
+        files.delete(f"{self.path}/incoming")
+        return {"recovered_tail": tail is not None, "quarantined": [p["name"] for p in moved], "orphans": orphans}
 
     def stats(self) -> dict:
         m = self.manifest
-        c = state.counters(self.state()).first()
-        held = [f"{self.path}/{g}" for g in m["generations"]]
-        p = self.spark.read.schema(LOG).parquet(*held).agg(F.count("*"), F.count_if(F.col("kind") == state.TOMBSTONE)).first() if held else (0, 0)
-        dead = c.tombstone_count if m["generations"] or m["batches"] else 0
+        if self._folded(m):
+            live, dead = m["generations"][0]["rows"], 0
+        else:
+            c = state.counters(state.versions(self.log(m))).first()
+            live, dead = c.live_vector_count, c.tombstone_count
         return {
-            "name": self.name, "tenant_id": self.tenant, "dimension": m["dimension"], "metric": m["metric"], "live_vector_count": c.live_vector_count, "tombstone_count": dead,
-            "segment_count": len(m["generations"]), "flush_in_progress": False, "compaction_in_progress": False, "storage_bytes": self.db.files.size(self.path), "persisted": p[0], "persisted_tombstones": p[1],
+            "name": self.name, "tenant_id": self.tenant, "dimension": m["dimension"], "metric": m["metric"], "live_vector_count": live, "tombstone_count": dead,
+            "segment_count": len(m["generations"]), "flush_in_progress": False, "compaction_in_progress": False, "storage_bytes": self.db.files.size(self.path),
+            "persisted": sum(g["rows"] for g in m["generations"]), "persisted_tombstones": sum(g["tombstones"] for g in m["generations"]),
         }
 
     def bulk_upsert(self, rows: DataFrame, flush: bool = False, compact: bool = False) -> int:
+        """Upsert a table of any size in one commit; compact implies flush."""
         n = self.upsert(rows)
         if flush or compact:
             self.flush()
@@ -305,6 +594,15 @@ class Collection:
             self.compact()
         return n
 
+    def bulk_load(self, source, mode: str = "JSON", flush: bool = False, compact: bool = False) -> int:
+        """bulk_upsert of files: JSON bodies, JSON lines (NDJSON) or binary streams (BINARY)."""
+        from lodestar.sources import codecs
+
+        read = {"JSON": codecs.read_body, "NDJSON": codecs.read_lines, "BINARY": lambda s, p: codecs.read_binary(s, p, self.manifest["dimension"])}
+        if mode not in read:
+            raise ValidationError(f"mode {mode!r}; one of {sorted(read)}")
+        return self.bulk_upsert(read[mode](self.spark, source), flush, compact)
+
     def synchronize(self, upserts=(), patches=(), deletes=(), flush: bool = False, compact: bool = False) -> dict:
         """Upserts, then patches, then deletes, then flush and compact."""
         done = {"upserted": self.upsert_records(upserts) if upserts else 0, "patched": self.partial_update(patches) if patches else 0, "deleted": self.delete(deletes) if deletes else 0}
@@ -316,28 +614,54 @@ class Collection:
 class Database:
     """Tenants and their collections and backups under one root."""
 
-    def __init__(self, spark: SparkSession, root: str, auto: bool = False, quotas: dict[str, policy.Quota] | None = None):
-        self.spark, self.root, self.auto, self.quotas = spark, root.rstrip("/"), auto, quotas or {}
-        self.files = Files(spark)
+    def __init__(self, spark: SparkSession, root: str, auto: bool = False, quotas: dict[str, policy.Quota] | None = None, observer: Observer | None = None, trace: bool = False):
+        self.spark, self.root, self.auto, self.quotas, self.trace = spark, root.rstrip("/"), auto, quotas or {}, trace
+        self.files, self.indexes, self.observer = Files(spark), IndexCache(), observer or Observer()
 
     def path(self, tenant: str, name: str) -> str:
         return f"{self.root}/tenant_id={policy.checked_name(tenant, 'tenant')}/collection={policy.checked_name(name)}"
 
-    def create(self, name: str, dimension: int, metric: str | None = None, tenant: str = policy.DEFAULT_TENANT, flush_bytes: int | None = None) -> Collection:
+    def create(self, name: str, dimension: int, metric: str | None = None, tenant: str = policy.DEFAULT_TENANT, flush_bytes: int | None = None, columns=()) -> Collection:
+        """A new collection; columns are payload paths whose values are kept as typed columns, which filters are pushed down to."""
         path, metric = self.path(tenant, name), metric or "COSINE"
         if dimension <= 0 or metric not in ("COSINE", "L2") or (flush_bytes is not None and flush_bytes <= 0):
             raise ValidationError("dimension and flush_bytes must be positive, metric COSINE or L2")
-        if self.files.exists(f"{path}/manifest.json"):
+        if self.files.names(f"{path}/manifests"):
             raise ValidationError(f"collection {name} exists already")
         self.check_quota(tenant, collections=1)
-        self.files.write(f"{path}/manifest.json", {"dimension": dimension, "metric": metric, "flush_bytes": flush_bytes or policy.DEFAULT_FLUSH_BYTES, "version": 0, "sequence": 0, "pending": 0, "next_generation": 1, "generations": [], "batches": [], "created_at": time.time()})
+        first = {"dimension": dimension, "metric": metric, "flush_bytes": flush_bytes or policy.DEFAULT_FLUSH_BYTES, "version": 0, "sequence": 0, "pending": 0, "next_generation": 1, "generations": [], "batches": [], "garbage": [], "streams": {}, "columns": list(columns), "created_at": time.time()}
+        if not self.files.write(f"{path}/manifests/{0:020d}.json", first, new=True):
+            raise ValidationError(f"collection {name} exists already")
         return Collection(self, tenant, name)
 
-    def open(self, name: str, tenant: str = policy.DEFAULT_TENANT) -> Collection:
+    def open(self, name: str, tenant: str = policy.DEFAULT_TENANT, recover: bool = False) -> Collection:
+        """The collection of that name; with recover, its parts are checked first (see Collection.recover)."""
         c = Collection(self, tenant, name)
         c.manifest  # noqa: B018  raises where there is none
+        if recover:
+            c.recovered = c.recover()
         return c
 
+    def load_for_serving(self, name: str, dimension: int, rows: DataFrame, metric: str | None = None, tenant: str = policy.DEFAULT_TENANT, compact: bool = False) -> Collection:
+        """Make sure that the collection is there, upsert the rows, flush, and maybe compact."""
+        c = self.ensure(name, dimension, metric, tenant)
+        c.bulk_upsert(rows, flush=True, compact=compact)
+        return c
+
+    def warm(self, budget: int = 256 << 20) -> list[str]:
+        """Warm the indexes of collections, small ones first, as far as the budget goes; what is warm."""
+        done, used = [], 0
+        for c in sorted(self.collections(), key=lambda c: self.files.size(c.path)):
+            used += self.files.size(c.path)
+            if used > budget:
+                break
+            c.warm()
+            done.append(f"{c.tenant}/{c.name}")
+        return done
+
+    def close(self) -> None:
+        self.indexes.drop("")
+
     def ensure(self, name: str, dimension: int, metric: str | None = None, tenant: str = policy.DEFAULT_TENANT) -> Collection:
         try:
             return self.create(name, dimension, metric, tenant)
@@ -350,7 +674,11 @@ class Database:
     def collections(self, tenant: str | None = None) -> list[Collection]:
         """By tenant, then name."""
         names = [tenant] if tenant else [n.removeprefix("tenant_id=") for n in self.files.names(self.root) if n.startswith("tenant_id=")]
-        return [Collection(self, t, n.removeprefix("collection=")) for t in sorted(names) for n in self.files.names(f"{self.root}/tenant_id={t}") if n.startswith("collection=") and self.files.exists(f"{self.root}/tenant_id={t}/{n}/manifest.json")]
+        return [Collection(self, t, n.removeprefix("collection=")) for t in sorted(names) for n in self.files.names(f"{self.root}/tenant_id={t}") if n.startswith("collection=") and self.files.names(f"{self.root}/tenant_id={t}/{n}/manifests")]
+
+    def list_collections(self, tenant: str | None = None) -> list[dict]:
+        """The stats of each collection, by tenant, then name."""
+        return [c.stats() for c in self.collections(tenant)]
 
     def tenants(self) -> list[str]:
         return sorted({c.tenant for c in self.collections()} | set(self.quotas)) or [policy.DEFAULT_TENANT]
@@ -370,7 +698,13 @@ class Database:
         c, target = self.open(name, tenant), f"{self.root}/backups/{policy.checked_name(tenant)}/{policy.checked_name(name)}/{policy.checked_name(backup_id, 'backup')}"
         if self.files.exists(target):
             raise ValidationError(f"backup {backup_id} exists already")
-        self.files.copy(c.path, f"{target}/data")
+        before = c.manifest["version"]
+        self.files.copy(f"{c.path}/manifests", f"{target}/data/manifests")
+        for part in c.manifest["generations"] + c.manifest["batches"]:
+            self.files.copy(f"{c.path}/{part['name']}", f"{target}/data/{part['name']}")
+        if c.manifest["version"] != before:  # a backup is of one version
+            self.files.delete(target)
+            raise ValidationError(f"collection {name} changed while it was copied")
         made = {"backup_id": backup_id, "tenant_id": tenant, "name": name, "created_at": time.time(), "sequence": c.manifest["sequence"], "stats": c.stats()}
         self.files.write(f"{target}/backup.json", made)
         return made
@@ -392,7 +726,7 @@ class Database:
         source = f"{self.root}/backups/{policy.checked_name(tenant)}/{policy.checked_name(name)}/{policy.checked_name(backup_id, 'backup')}/data"
         if not self.files.exists(source):
             raise NotFound(f"no backup {backup_id} of {name}")
-        if self.files.exists(f"{self.path(tenant, target)}/manifest.json"):
+        if self.files.names(f"{self.path(tenant, target)}/manifests"):
             raise ValidationError(f"collection {target} exists already")
         self.check_quota(tenant, collections=1)
         self.files.copy(source, self.path(tenant, target))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.payload import footprint, merged
+from lodestar.functions.payload import footprint
 from lodestar.functions.scoring import doubles, literal, score
-from lodestar.operators import ann, batch, policy, state
+from lodestar.operators import ann, batch, payload_index, policy, state
 from lodestar.operators.filters import Columns, FilterBuilder, Payload, compile_filter
-from lodestar.sources import codecs
+from lodestar.operators.ranks import nearest_ranks
+from lodestar.sources import codecs, synthetic
 
 QUERIES, SQL = {}, {}
 
@@ -62,18 +66,19 @@ def l2_topk(spark, sf_dir):
     return _best(_scored(spark, sf_dir, "L2"))
 
 
-@query("SELECT vec_id, 0.0::DOUBLE AS score FROM embeddings WHERE label = 3")
+@query(f"""SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE round(list_cosine_similarity({_V}, {_Q}), 6) END AS score FROM embeddings""")
 def cosine_zero_norm(spark, sf_dir):
-    v = _t(spark, sf_dir, "embeddings").where("label = 3")
-    return v.select("vec_id", score("COSINE", literal([0.0] * 64), doubles(F.col("embedding"))).alias("score"))
+    """Every fifth row is a vector without length, whose score is 0."""
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform(doubles(F.col("embedding")), lambda x: F.when(F.col("vec_id") % 5 == 0, 0.0).otherwise(x)).alias("v"))
+    return v.select("vec_id", F.round(score("COSINE", literal(_query_vector(spark, sf_dir)), F.col("v")), 6).alias("score"))
 
 
 FILTERS = {
     "topk_filter_eq": ({"label": 3}, "label = 3"),
     "topk_filter_in": (FilterBuilder().is_in("label", [1, 4, 7]).build(), "label IN (1, 4, 7)"),
     "topk_filter_range": (FilterBuilder().between("label", gte=2, lt=5).build(), "label >= 2 AND label < 5"),
-    "topk_filter_and": (FilterBuilder().between("label", gt=1).between("vec_id", lte=250).build(), "label > 1 AND vec_id <= 250"),
-    "topk_filter_or": ({"$or": [{"label": 0}, {"vec_id": {"$lt": 40}}]}, "label = 0 OR vec_id < 40"),
+    "topk_filter_and": (FilterBuilder().between("label", gt=1).between("label", lte=6).build(), "label > 1 AND label <= 6"),
+    "topk_filter_or": ({"$or": [{"label": 0}, {"label": {"$gte": 7}}]}, "label = 0 OR label >= 7"),
     "topk_filter_not": ({"$not": {"label": {"$in": [0, 1, 2, 3]}}}, "NOT coalesce(label IN (0, 1, 2, 3), false)"),
 }
 for _name, (_spec, _where) in FILTERS.items():
@@ -169,13 +174,105 @@ def additional_live(spark, sf_dir):
     return state.additional_live(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), state.live(state.latest(_mutations(spark, sf_dir))))
 
 
-@query("""SELECT user_id AS id, arg_max(json_extract_string(props, '$.k')::BIGINT, event_id) AS k, arg_max(event_type, event_id) AS kind, count(*) AS n FROM events GROUP BY user_id""")
-def patch_fold(spark, sf_dir):
+_KIND = "CASE WHEN event_id % 10 = 3 THEN 'LIVE' WHEN event_id % 50 = 27 THEN 'TOMBSTONE' ELSE 'PAYLOAD_PATCH' END"
+
+
+def _document_log(spark, sf_dir):
+    """The events as a log of documents: whole records, deletes, and patches that set a value, one inside a map, and take a key out."""
     e = _t(spark, sf_dir, "events")
-    patch = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), F.struct(F.col("event_type").alias("kind")).alias("meta")))
-    folded = e.groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("event_id", patch.alias("p")))).alias("p"))
-    out = F.parse_json(merged(F.lit('{"meta":{"kind":"none","old":1},"k":0}'), F.col("p.p")))
-    return folded.select("id", F.variant_get(out, "$.k", "bigint").alias("k"), F.variant_get(out, "$.meta.kind", "string").alias("kind"), F.size("p").cast("long").alias("n"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    whole = F.to_json(F.struct(k.alias("k"), F.struct(F.lit("none").alias("kind"), F.lit(1).alias("old")).alias("meta"), F.lit("x").alias("gone")))
+    patch = F.concat(F.lit('{"k":'), k.cast("string"), F.lit(',"meta":{"kind":"'), F.col("event_type"), F.lit('"},"gone":null}'))
+    kind = F.expr(_KIND)
+    none = lambda t: F.lit(None).cast(t)
+    return e.select(
+        F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("sequence"), kind.alias("kind"), none("array<float>").alias("vector"), none("float").alias("norm"),
+        F.when(kind == "LIVE", whole).when(kind == "PAYLOAD_PATCH", patch).alias("payload"),
+    )
+
+
+@query(f"""WITH log AS (SELECT *, {_KIND} AS what, json_extract_string(props, '$.k')::BIGINT AS k FROM events),
+whole AS (SELECT user_id, max(event_id) AS base, arg_max(what, event_id) AS what, arg_max(k, event_id) AS k FROM log WHERE what <> 'PAYLOAD_PATCH' GROUP BY user_id),
+later AS (SELECT w.user_id, max(l.event_id) AS at, arg_max(l.k, l.event_id) AS k, arg_max(l.event_type, l.event_id) AS kind
+  FROM whole w JOIN log l ON l.user_id = w.user_id AND l.what = 'PAYLOAD_PATCH' AND l.event_id > w.base AND w.what = 'LIVE' GROUP BY w.user_id)
+SELECT w.user_id::VARCHAR AS id, coalesce(l.at, w.base) AS sequence, w.what = 'TOMBSTONE' AS tombstone, CASE WHEN w.what = 'LIVE' THEN coalesce(l.k, w.k) END AS k,
+  CASE WHEN w.what = 'LIVE' THEN coalesce(l.kind, 'none') END AS kind, CASE WHEN w.what = 'LIVE' THEN 1 END AS old, CASE WHEN w.what = 'LIVE' AND l.at IS NULL THEN 'x' END AS gone
+FROM whole w LEFT JOIN later l USING (user_id)""")
+def patch_fold(spark, sf_dir):
+    out = state.resolve(_document_log(spark, sf_dir))
+    at = lambda path, kind: F.try_variant_get(F.parse_json("payload"), path, kind)
+    return out.select("id", "sequence", "tombstone", at("$.k", "bigint").alias("k"), at("$.meta.kind", "string").alias("kind"), at("$.meta.old", "int").alias("old"), at("$.gone", "string").alias("gone"))
+
+
+def _database(spark):
+    """A database in the folder that the cluster shares; in a local session without one, in a temporary folder."""
+    from lodestar.plans.collections import Database
+
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="lodestar-db-")
+    return Database(spark, f"{named}/lodestar-db/{uuid.uuid4().hex}")
+
+
+def _collection(spark, sf_dir, columns=()):
+    """The embeddings as a collection: upserted, flushed, ids divisible by 10 deleted, those divisible by 7 put in again with the opposite vector."""
+    c = _database(spark).create("vectors", 64, columns=columns)
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.to_json(F.struct("label", (F.col("vec_id") % 3).alias("third"))).alias("payload"))
+    c.upsert(v)
+    c.flush()
+    c.delete_rows(v.where("pos % 10 = 0").select("id"))
+    c.upsert(v.where("pos % 7 = 0").withColumn("vector", F.transform("vector", lambda x: -x)))
+    return c
+
+
+_KEPT = f"""(SELECT vec_id, label, vec_id % 3 AS third, CASE WHEN vec_id % 7 = 0 THEN list_transform({_V}, lambda x: -x) ELSE {_V} END AS v FROM embeddings WHERE vec_id % 10 <> 0 OR vec_id % 7 = 0)"""
+_BEST = "SELECT vec_id::VARCHAR AS id, round(list_cosine_similarity(v, %s), 4) AS score FROM %s WHERE %s ORDER BY list_cosine_similarity(v, %s) DESC LIMIT 10"
+
+
+def _found(rows):
+    return rows.select("id", F.round("score", 4).alias("score"))
+
+
+@query(_BEST % (_Q, _KEPT, "true", _Q))
+def collection_search(spark, sf_dir):
+    return _found(_collection(spark, sf_dir).ranked(_query_vector(spark, sf_dir), 10))
+
+
+@query(_BEST % (_Q, _KEPT, "label >= 3 AND third = 1", _Q))
+def collection_filtered_search(spark, sf_dir):
+    """A filter over promoted payload paths, after a compaction: one generation, read by pushed-down comparisons."""
+    c = _collection(spark, sf_dir, ["label", "third"])
+    c.compact()
+    return _found(c.ranked(_query_vector(spark, sf_dir), 10, {"label": {"$gte": 3}, "third": 1}))
+
+
+@query(f"SELECT vec_id::VARCHAR AS id, label, round(list_sum(v), 4) AS total FROM {_KEPT}")
+def collection_compacted(spark, sf_dir):
+    c = _collection(spark, sf_dir)
+    c.compact()
+    total = F.aggregate(doubles(F.col("vector")), F.lit(0.0), lambda s, x: s + x)
+    return c.live().select("id", F.get_json_object("payload", "$.label").cast("int").alias("label"), F.round(total, 4).alias("total"))
+
+
+@query(f"SELECT 'vectors' AS name, count(*) AS live_vector_count, (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0 AND vec_id % 7 <> 0) AS tombstone_count, 2 AS segment_count FROM {_KEPT}")
+def collection_counts(spark, sf_dir):
+    c = _collection(spark, sf_dir)
+    c.flush()
+    s = c.stats()
+    return spark.createDataFrame([(s["name"], s["live_vector_count"], s["tombstone_count"], s["segment_count"])], "name string, live_vector_count long, tombstone_count long, segment_count int")
+
+
+@query("""SELECT 'k' AS path, json_extract_string(props, '$.k') AS value, event_id FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def payload_postings(spark, sf_dir):
+    return payload_index.postings(_t(spark, sf_dir, "events"), ["event_id"], "props")
+
+
+@query("SELECT event_id FROM events WHERE coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT) IN (7, 8, 9), false)")
+def postings_candidates(spark, sf_dir):
+    posted = payload_index.postings(_t(spark, sf_dir, "events"), ["event_id"], "props")
+    return payload_index.candidates(posted, {"$or": [{"k": {"$in": [7, 8]}}, {"k": 9}]}, ["event_id"])
 
 
 def _queries(rows):
@@ -265,9 +362,10 @@ def mode_planner(spark, sf_dir):
 @query(f"""SELECT event_type AS collection, count(*) FILTER (rn = 1) AS live, count(*) AS entries, count(DISTINCT event_id // 2500) AS segments
 FROM ({_ORDERED}) GROUP BY event_type""")
 def collection_stats(spark, sf_dir):
-    newest = F.max("event_id").over(Window.partitionBy("user_id"))
-    e = _t(spark, sf_dir, "events").withColumn("newest", newest)
-    return e.groupBy(F.col("event_type").alias("collection")).agg(F.count_if(F.col("event_id") == F.col("newest")).alias("live"), F.count("*").alias("entries"), F.countDistinct(F.floor(F.col("event_id") / 2500)).alias("segments"))
+    e = _t(spark, sf_dir, "events")
+    newest = e.groupBy("user_id").agg(F.max("event_id").alias("event_id")).select("event_id", F.lit(1).alias("live"))
+    e = e.select(F.col("event_type").alias("collection"), "event_id").join(newest, "event_id", "left")
+    return e.groupBy("collection").agg(F.count("live").alias("live"), F.count("*").alias("entries"), F.countDistinct(F.floor(F.col("event_id") / 2500)).alias("segments"))
 
 
 @query("SELECT n_name AS tenant_id, count(*) AS collection_count, sum(c_custkey)::BIGINT AS storage, max(c_custkey) AS last_created FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -285,8 +383,7 @@ def tenant_listing(spark, sf_dir):
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS most FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"), disc(0.99).alias("p99"), F.max("value").alias("most"))
+    return nearest_ranks(_t(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "most": 1.0})
 
 
 BUCKETS = (5, 10, 25, 50, 100, 250)
@@ -297,9 +394,13 @@ def histogram_buckets(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy("event_type").agg(*(F.count_if(F.col("value") <= b).alias(f"le_{b}") for b in BUCKETS), F.count("*").alias("n"))
 
 
-@query("SELECT event_type AS status, count(*) AS n, round(count(*) / 60.0, 6) AS qps FROM events GROUP BY event_type")
+@query("""SELECT event_type AS status, count(*) AS n, round(count(*) / (SELECT epoch_ms(max(ts)) - epoch_ms(min(ts)) FROM events) * 1000, 6) AS qps FROM events GROUP BY event_type""")
 def status_distribution(spark, sf_dir):
-    return _t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.round(F.count("*") / 60.0, 6).alias("qps"))
+    """Calls by status, and how many a second over the time that all calls took."""
+    e = _t(spark, sf_dir, "events")
+    span = e.agg(((F.unix_millis(F.max(F.col("ts").cast("timestamp"))) - F.unix_millis(F.min(F.col("ts").cast("timestamp")))) / 1000).alias("seconds"))
+    n = e.groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(span)).select("status", "n", F.round(F.col("n") / F.col("seconds"), 6).alias("qps"))  # one row
 
 
 @query("SELECT lang, arg_max(doc_id, n_chars * 1000000 - doc_id) AS best, max(n_chars) AS most FROM documents GROUP BY lang")
@@ -308,6 +409,13 @@ def best_scenario(spark, sf_dir):
     return d.groupBy("lang").agg(F.max_by("doc_id", F.col("n_chars") * 1000000 - F.col("doc_id")).alias("best"), F.max("n_chars").alias("most"))
 
 
+@query("""SELECT lang AS family, max(n_chars) FILTER (doc_id % 3 = 0) AS unprepared, max(n_chars) FILTER (doc_id % 3 = 1) AS flush, max(n_chars) FILTER (doc_id % 3 = 2) AS flush_compact FROM documents GROUP BY lang""")
+def family_comparison(spark, sf_dir):
+    """The best figure of each way of preparation, side by side for each family of scenarios."""
+    d = _t(spark, sf_dir, "documents").select(F.col("lang").alias("family"), F.element_at(F.array(F.lit("unprepared"), F.lit("flush"), F.lit("flush_compact")), (F.col("doc_id") % 3 + 1).cast("int")).alias("prepared"), "n_chars")
+    return d.groupBy("family").pivot("prepared", ["unprepared", "flush", "flush_compact"]).agg(F.max("n_chars"))
+
+
 @query("SELECT doc_id, octet_length(encode(doc_id::VARCHAR)) + octet_length(encode(text)) + 4 * 64 + 4 AS bytes FROM documents")
 def footprint_estimate(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", footprint(F.col("doc_id").cast("string"), F.col("text"), F.lit(64)).alias("bytes"))
@@ -339,9 +447,14 @@ def binary_roundtrip(spark, sf_dir):
     return _checked(codecs.decode_rows(codecs.encode_partitions(_log(spark, sf_dir), 64), 64))
 
 
-@query("SELECT ((i * 7) % 128)::INT AS slot, count(*) AS n FROM range(5000) t(i) GROUP BY 1")
-def synthetic_payloads(spark, sf_dir):
-    return spark.range(5000).groupBy(((F.col("id") * 7) % 128).cast("int").alias("slot")).agg(F.count("*").alias("n"))
+@query("""SELECT 'vec-' || i AS id, round(1 + 0.35 + 0.2 + (i % 5 + 1) / 20.0, 4)::DOUBLE AS total, i % 1024 AS bucket, 'g-' || (i % 64) AS "group", i % 12 AS section
+FROM (SELECT unnest(range(count(*))) AS i FROM customer)""")
+def synthetic_vectors(spark, sf_dir):
+    """The load generator's rows, as many as there are customers; the weights of a vector add up to the same wherever they meet."""
+    rows = synthetic.vectors(spark, _t(spark, sf_dir, "customer").count(), 64)
+    total = F.aggregate(doubles(F.col("vector")), F.lit(0.0), lambda s, x: s + x)
+    at = lambda k: F.get_json_object("payload", f"$.{k}")
+    return rows.select("id", F.round(total, 4).alias("total"), at("bucket").cast("long").alias("bucket"), at("group").alias("group"), at("section").cast("long").alias("section"))
 
 
 def queries():

@@ -107,9 +107,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     record_id = F.trim(F.try_variant_get(v, "$.id", "string"))
     vector = F.try_variant_get(v, "$.vector", "array<float>")
     payload = F.coalesce(F.to_json(F.try_variant_get(v, "$.payload", "variant")), F.lit("{}"))
-    out = text.select(record_id.alias("id"), vector.alias("vector"), F.when(payload == "null", "{}").otherwise(payload).alias("payload"))
+    out = text.select("value", record_id.alias("id"), vector.alias("vector"), F.when(payload == "null", "{}").otherwise(payload).alias("payload"))
     bad = F.col("id").isNull() | (F.col("id") == "") | F.col("vector").isNull() | (F.size("vector") == 0)
-    return out.select(F.when(bad, F.raise_error(F.lit("a record lacks its id or vector"))).otherwise(F.col("id")).alias("id"), "vector", "payload")
+    return out.select(F.when(bad, F.raise_error(F.concat(F.lit("a record lacks its id or vector: "), F.substring("value", 1, 120)))).otherwise(F.col("id")).alias("id"), "vector", "payload")
 
 
 def read_body(spark: SparkSession, path: str) -> DataFrame:

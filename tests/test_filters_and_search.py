@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.operators.ranks import nearest_rank
 from lodestar.operators import ann, batch, policy
 from lodestar.operators.filters import FilterBuilder, FilterError, Payload, compile_filter, parse
 from lodestar.operators.state import numbered, resolve
@@ -91,7 +92,7 @@ def test_planner():
     assert (p.beam, p.rerank) == (64 + 8 * 17, 80)
     assert policy.plan_search(100000, 1000).beam == 768 and policy.plan_search(100000, 1000).rerank == 1000
     assert policy.should_compact(4, False, 0, 0, 10, 0) and not policy.should_compact(1, False, 999, 999, 0, 9) and policy.flush_mutations(384) == 512
-    assert policy.allowed(["WRITER"], "search") and not policy.allowed(["READER"], "upsert") and policy.nearest_rank([3, 1, 2], 0.5) == 2
+    assert policy.allowed(["WRITER"], "search") and not policy.allowed(["READER"], "upsert") and nearest_rank([3, 1, 2], 0.5) == 2
 
 
 def test_recall_of_codes_and_graph(spark):
