@@ -112,8 +112,8 @@ def dedup_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     the text, then line; a line goes where a pair that it belongs to isn't first (the next place in a text, which shares a line
     with the first, counts as the first). So of every repeated run all lines go, the first place of every line stays, and no
     border has to fall alike. Pairs meet by a hash of their lines' hashes; one goes only if its bytes equal those of the first.
-    Counts meet by the hash alone, in sums that begin before the shuffle; a pair in a third of all documents is a long run of a
-    sort-merge join, which AQE splits. A text crosses the network once with the result, and once more if it may hold a first.
+    Counts meet by the hash alone, in sums that begin before the shuffle. What is summed is written before it is joined, so both sides of
+    the join come right from a shuffle, and AQE can split the run of a pair that a third of all documents hold. A text crosses the network once with the result, and once more if it may hold a first.
 
     Rows alike in id and text are one document: they keep the same lines. Null and empty texts and those of one line stay as
     they are (n_lines 0 for null and empty); of a text whose lines all go, '' is left. Empty df: empty result. Columns of df
@@ -132,8 +132,7 @@ def dedup_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     firsts = pairs.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
     firsts = staged(firsts, "line-firsts")
     own_text = (F.col("k1").eqNullSafe(F.col("first.k1"))) & (F.col("k2") == F.col("first.k2"))
-    later = pairs.join(firsts, "hash").where(~(own_text & F.col("line").isin(F.col("first.line"), F.col("first.line") + 1))).select("hash", "k1", "k2", "line")
-    wanted = firsts.groupBy(F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2")).agg(F.collect_list(F.struct("hash", "first.line")).alias("wanted"))
+    wanted = staged(firsts.groupBy(F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2")).agg(F.collect_list(F.struct("hash", "first.line")).alias("wanted")), "line-wanted")
     # The texts with a first, by one bit of their hash.
     bit = lambda k: F.pmod(k, F.lit(_BITS))
     word = lambda k: F.floor(bit(k) / 64)
@@ -142,11 +141,13 @@ def dedup_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     same = (F.col("k1").eqNullSafe(F.col("f1"))) & (F.col("k2") == F.col("f2"))
     own = _with_lines(F.col("x"), lambda l: F.transform("wanted", lambda w: F.struct(w["hash"].alias("hash"), _pair(l, w["line"]).alias("own"))))
     originals = may.join(wanted, same).select(F.explode(own).alias("w")).select("w.hash", "w.own").dropDuplicates(["hash"])
-    gone = later.join(originals, "hash").groupBy(F.col("k1").alias("f1"), F.col("k2").alias("f2")).agg(F.collect_list(F.struct("line", "own")).alias("gone"))
+    firsts = staged(firsts.join(originals, "hash"), "line-originals")
+    later = pairs.join(firsts, "hash").where(~(own_text & F.col("line").isin(F.col("first.line"), F.col("first.line") + 1)))
+    # Rows alike in id and text name the same lines: a set holds them once, already before the shuffle.
+    gone = staged(later.groupBy(F.col("k1").alias("f1"), F.col("k2").alias("f2")).agg(F.collect_set(F.struct("line", "own")).alias("gone")), "line-gone")
     x = F.col(f"row.`{text}`")
     both = rows.join(gone, same, "left")
     equal = _with_lines(x, lambda l: F.flatten(F.transform(F.filter("gone", lambda g: _pair(l, g["line"]) == g["own"]), lambda g: F.array(g["line"], g["line"] + 1))))
-    # Rows alike in id and text name their pairs once each.
     out = both.select("row", F.when(F.col("gone").isNotNull(), F.array_distinct(equal)).alias("drop"))
     kept = _with_lines(x, lambda l: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(l) - 1), F.col("drop")), lambda i: l[i]), "\n"))
     fields = [F.col(f"row.`{c}`") if c != text else F.when(F.size("drop") > 0, kept).otherwise(x).alias(c) for c in dict.fromkeys(df.columns) if c.lower() not in ("n_lines", "n_removed")]

@@ -64,3 +64,18 @@ def test_runs_of_the_documents_table(spark):
     got = line_dedup.dedup_runs(docs).collect()
     before = dict(rows)
     assert len(got) == len(rows) and all(x.text is None or (x.text, x.n_removed) == want[x.doc_id, before[x.doc_id]] for x in got)
+
+
+def test_many_alike_rows_without_an_id(spark):
+    text = "\n".join(f"line {k}" for k in range(42))
+    rows = spark.range(10_000).selectExpr("cast(null as long) doc_id", f"'{text}' text").unionByName(spark.createDataFrame([(1, text + "\nown")], "doc_id long, text string"))
+    got = line_dedup.dedup_runs(rows).groupBy("doc_id", "text", "n_removed").count().collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, text + "\nown", 0, 1), (None, "", 42, 10_000)], key=str)
+
+
+def test_a_hot_pair_is_split(spark):
+    """The join of the pairs reads both sides right from a shuffle, which AQE needs to split a run."""
+    rows = spark.range(3_000).selectExpr("id doc_id", "concat('own ', id, '\\nshared a\\nshared b\\nshared c\\nend ', id) text")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.enabled")}
+    out = line_dedup.dedup_runs(rows).where("doc_id > 0").agg(F.sum("n_removed"), F.max("n_removed"), F.min("n_removed")).first()
+    assert tuple(out) == (3 * 2_999, 3, 3) and before
