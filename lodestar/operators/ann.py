@@ -23,7 +23,7 @@ CENTROIDS, ROUNDS = 16, 6
 LINKS, BASE_LINKS, BUILD_BEAM, LEVELS = 8, 16, 64, 7
 SEED = 1
 #: Rows of one shard's graph at most.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 8_000
 
 
 def subspaces(dimension: int, most: int = SUBSPACES) -> list[tuple[int, int]]:
@@ -105,7 +105,7 @@ def quantized_score(codes, tables, norm_, q_norm: float, metric: str):
 
 
 class Graph:
-    """A layered graph over the rows of one shard: links go to the best scored, greedily down, then a beam on the lowest layer."""
+    """A layered graph over the rows of one shard: links go to well scored rows in all directions, greedily down, then a beam on the lowest layer."""
 
     def __init__(self, x: np.ndarray, metric: str):
         self.x, self.metric = np.asarray(x, dtype=np.float64), metric
@@ -138,17 +138,42 @@ class Graph:
         for level in range(min(top, highest), -1, -1):
             most = BASE_LINKS if level == 0 else LINKS
             found = self._beam(q, [at], BUILD_BEAM, level, self.scores)[0]
-            for _, j in found[:most]:
+            for j in self._spread(np.array([s for s, _ in found]), [j for _, j in found], most):
                 self.links[level][i].append(j)
                 own = self.links[level][j]
                 own.append(i)
                 if len(own) > most:
                     s = self.scores(self.x[j], own)
-                    self.links[level][j] = [own[k] for k in np.argsort(-s, kind="stable")[:most]]
+                    order = np.argsort(-s, kind="stable")
+                    self.links[level][j] = self._spread(s[order], [own[k] for k in order], most)
             at = found[0][1]
         if top > highest:
             self.entry = i
 
+    def _spread(self, s: np.ndarray, rows: list[int], most: int) -> list[int]:
+        """At most so many of rows (best scored first): first those that no row taken before is closer to than the owner is, then the best of the rest.
+
+        Links to the best alone stay within a cluster, and a search can't leave it.
+        """
+        if len(rows) <= most:
+            return rows
+        c = self.x[rows]
+        if self.metric == "L2":
+            near = -(np.square(c).sum(axis=1)[:, None] + np.square(c).sum(axis=1)[None, :] - 2 * c @ c.T)
+        else:
+            n = np.maximum(self.norms[rows], 1e-30)
+            near = (c @ c.T) / n[:, None] / n[None, :]
+        taken: list[int] = []
+        closest = np.full(len(rows), -np.inf)
+        for k in range(len(rows)):
+            if closest[k] < s[k]:
+                taken.append(k)
+                closest = np.maximum(closest, near[k])
+                if len(taken) == most:
+                    break
+        rest = [k for k in range(len(rows)) if k not in set(taken)]
+        return [rows[k] for k in sorted([*taken, *rest[: most - len(taken)]])]
+
     def _descend(self, q, at: int, level: int) -> int:
         best = float(self.scores(q, [at])[0])
         while near := self.links[level].get(at):

@@ -184,3 +184,22 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(query_id, recall): which share of exact's rows (query_id, id) found has too."""
     both = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1.0).alias("hit")), ["query_id", "id"], "left")
     return both.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
+
+
+def tuned_rerank(queries: DataFrame, rows: DataFrame, k: int, metric: str, books: list[np.ndarray], start: int, n: int, least: float = 0.9, graph: bool | DataFrame = False, sample: int = 64) -> int:
+    """How many candidates a query needs for that recall: start, doubled until sample queries (the first by a hash) reach it against exact search.
+
+    As many candidates as rows are exact. rows: (id, sequence, vector, norm, codes). The sample is bounded, the rows are all of them.
+    """
+    few = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+    truth = knn(few, rows.select("id", "vector"), k, metric).select("query_id", "id").collect()  # sample * k rows
+    if not truth:
+        return start
+    spark = rows.sparkSession
+    exact = spark.createDataFrame(truth, queries.sparkSession.createDataFrame([], few.select("query_id").schema.add(rows.schema["id"])).schema)
+    size = max(1, start)
+    while size < n:
+        if recall(ann_knn(few, rows, k, metric, books, size, graph, n), exact).agg(F.avg("recall")).first()[0] >= least:
+            break
+        size *= 2
+    return min(size, max(n, start))

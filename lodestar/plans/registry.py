@@ -330,9 +330,13 @@ def pq_encode_adc(spark, sf_dir):
 
 
 def _ann(spark, sf_dir, graph):
+    """The approximate ten of each query; as many candidates as a sample of the queries needs for a recall of 0.95."""
     rows = _log(spark, sf_dir).withColumn("id", F.col("id").cast("long"))
     n, books = rows.count(), ann.train(rows, 64)
-    return batch.ann_knn(_queries(rows.select("id", "vector")), ann.with_codes(rows, books), 10, "COSINE", books, policy.plan_batch(n, 10), graph, n)
+    coded, queries_ = ann.with_codes(rows, books), _queries(rows.select("id", "vector"))
+    stored = ann.build_graphs(ann.sharded(rows.select("id", "sequence", "vector"), n), "COSINE", books).persist() if graph else False
+    size = batch.tuned_rerank(queries_, coded, 10, "COSINE", books, policy.plan_batch(n, 10), n, 0.95, stored)
+    return batch.ann_knn(queries_, coded, 10, "COSINE", books, size, stored, n)
 
 
 @query()
