@@ -17,25 +17,40 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier doesn't reject; it learns from labels whose crc32 mod 5 isn't 0."""
+    """Documents that the compression classifier doesn't reject; it learns from labels whose crc32 mod 5 isn't 0.
+
+    Null and empty texts score as texts that both dictionaries shorten alike; without labels, or with one kind, all texts score the share of good
+    labels. Repeated rows score alike. Empty documents: none kept.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     learn = labels.where(language_id.remainder(F.col("doc_id"), 5) != 0)
     return _columns(quality.classify(docs, quality.fit(docs, learn)).where("predicted = 1"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the runs of two lines or more that stand elsewhere before; n_chars follows the text."""
+    """All documents, without the runs of two lines or more that stand elsewhere before; n_chars follows the text.
+
+    Null, empty and one-line texts stay; a text of which all lines go is ''. "Before" is by id, null last, then hash of the text; rows
+    alike in both keep the same lines.
+    """
     out = line_dedup.dedup_runs(_columns(docs))
     return out.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group joined by shingle sets alike to 0.75."""
+    """One document, that of the smallest id, of each group joined by shingle sets alike to 0.75.
+
+    Null, empty and blank texts and null ids link with nothing and stay; of repeated rows with the kept id all stay.
+    """
     return _columns(ngram_join.keep_one(_columns(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Null texts have no words and come as often as their source's whole copies, null sources are one source. Rows with one id, also null, come as
+    often as the one of them that is taken most.
+    """
     docs = _columns(docs)  # an extra column may have the name of the plan's
     plan = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
     taken = docs.join(plan, docs.doc_id.eqNullSafe(plan.doc_id)).select(*(docs[c] for c in COLUMNS), "copies")
@@ -43,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and token_ids of each document, and a digest of what the ids decode to."""
+    """doc_id, source, n_tokens and token_ids of each document, and a digest of what the ids decode to. Null texts are empty; repeated rows each have theirs."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = byte_bpe.encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN, ids="token_ids", keep=["doc_id", "source"], digests=True)
     return out.select("doc_id", "source", "n_tokens", "token_ids", "decoded_sha256")
