@@ -78,42 +78,51 @@ def _grams(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageFilters:
-    """A Bloom filter for each language, sliced by bit: row h of the table holds bit h of all of them.
+    """A Bloom filter for each language, sliced by bit: row h of a table holds bit h of up to 64 of them.
 
-    One look at the rows of an n-gram's hashes, joined by AND, gives the mask of all languages that have it.
+    One look at the rows of an n-gram's hashes, joined by AND, gives the mask of all languages of a table that have it.
     """
 
     languages: list[str]
-    table: np.ndarray
+    tables: list[np.ndarray]
     hashes: int
 
     @classmethod
     def of(cls, grams: dict[str, np.ndarray], bits: int, hashes: int) -> LanguageFilters:
         languages = sorted(grams)
-        kind = next((k for n, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= n), None)
-        if kind is None:
-            raise ValueError(f"{len(languages)} languages; a mask holds 64")
-        out = cls(languages, np.zeros(bits, dtype=kind), hashes)
-        for i, lang in enumerate(languages):
-            for at in out._rows(grams[lang]):
-                out.table[at] |= kind(1 << i)
+        out = cls(languages, [], hashes)
+        for at in range(0, len(languages), 64):
+            own = languages[at : at + 64]
+            kind = next(k for n, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(own) <= n)
+            out.tables.append(np.zeros(bits, dtype=kind))
+            for i, lang in enumerate(own):
+                for rows in out._rows(grams[lang], bits):
+                    out.tables[-1][rows] |= kind(1 << i)
         return out
 
-    def _rows(self, h: np.ndarray):
+    def _rows(self, h: np.ndarray, bits: int):
         with np.errstate(over="ignore"):
             step = (h >> np.uint64(32)) | np.uint64(1)
             for k in range(self.hashes):
-                yield ((h + np.uint64(k) * step) % np.uint64(len(self.table))).astype(np.int64)
-
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        out = None
-        for at in self._rows(h):
-            out = self.table[at] if out is None else out & self.table[at]
+                yield ((h + np.uint64(k) * step) % np.uint64(bits)).astype(np.int64)
+
+    def masks(self, h: np.ndarray) -> list[np.ndarray]:
+        """Of each table, the masks of the languages that have these n-grams."""
+        out: list[np.ndarray] = []
+        for rows in self._rows(h, len(self.tables[0])) if self.tables else ():
+            found = [t[rows] for t in self.tables]
+            out = [a & b for a, b in zip(out, found)] if out else found
         return out
 
+    def _flags(self, masks: list[np.ndarray]):
+        """By language, which n-grams it has."""
+        for mask, at in zip(masks, range(0, len(self.languages), 64)):
+            for i in range(min(64, len(self.languages) - at)):
+                yield (mask >> mask.dtype.type(i)) & mask.dtype.type(1)
+
     def false_rates(self) -> np.ndarray:
         """By language, how often the filter has what was never put in."""
-        return np.array([np.mean((self.table >> self.table.dtype.type(i)) & self.table.dtype.type(1)) ** self.hashes for i in range(len(self.languages))])
+        return np.array([np.mean(bit) ** self.hashes for bit in self._flags(self.tables)])
 
     def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """By text: how many n-grams each language's filter has, and how many n-grams there are."""
@@ -121,12 +130,13 @@ class LanguageFilters:
         for rows, starts, codes in _groups(texts):
             for n in LENGTHS:
                 h, good = _grams(codes, n)
-                mask = self.masks(h)
-                mask[~good] = 0
+                masks = self.masks(h)
+                for mask in masks:
+                    mask[~good] = 0
                 at = np.minimum(starts, len(h) - 1)
                 np.add.at(total, rows, np.add.reduceat(good.astype(np.int64), at))
-                for i in range(len(self.languages)):
-                    np.add.at(found[:, i], rows, np.add.reduceat(((mask >> mask.dtype.type(i)) & mask.dtype.type(1)).astype(np.int64), at))
+                for i, flag in enumerate(self._flags(masks)):
+                    np.add.at(found[:, i], rows, np.add.reduceat(flag.astype(np.int64), at))
         return found, total
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -141,18 +151,20 @@ class LanguageFilters:
 
 
 def fit(
-    df: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 2_000, least_share: float = 0.01, bits: int = 1 << 20, hashes: int = 3
+    df: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 2_000, least_share: float = 0.01, bits: int = 1 << 20, hashes: int = 3, most_languages: int = 512
 ) -> LanguageFilters:
     """Learn each language's n-grams from the rows with a text and a language.
 
     The bound: about rows_per_language different texts of each language at most, chosen by a hash of the text, are read whole. A language
     has the n-grams that at least least_share of its sampled texts hold (two at least, unless it has fewer than ten), which bounds
-    what reaches the driver by the mean number of n-grams of a text over least_share. No rows: no languages.
+    what reaches the driver by the mean number of n-grams of a text over least_share. Of more than most_languages languages those with the most
+    rows are learned (then by code point). No rows: no languages.
     """
     known = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang).cast("string")).count().collect()}
+    kinds = known.groupBy(F.col(lang).cast("string").alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(most_languages)
+    counts = {r[0]: r[1] for r in kinds.collect()}
     if not counts:
-        return LanguageFilters([], np.zeros(bits, dtype=np.uint8), hashes)
+        return LanguageFilters([], [], hashes)
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows_per_language / n))))
     place = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)) / float(1 << 20)
     # The hash takes all copies of a text or none; one of them stays, so that a large group of copies doesn't pass the bound.

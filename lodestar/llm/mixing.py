@@ -52,17 +52,19 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 
     A source's ratio of target to size has a whole part, the copies that every document gets, and a fraction, the
     inclusion probability p of one copy more. For that copy documents are ranked by odds(u) / odds(p) with u a
-    fixed random number of the id; the lowest ranks are taken as long as half of a document still fits, so each source is
+    fixed random number of the document; the lowest ranks are taken as long as half of a document still fits, so each source is
     within half a document of its target and reruns agree. The end of the sample is found by sums over bands of the
     rank, twice; only documents in one of 2^24 bands are ever sorted, so no source gathers in one task.
 
-    Null texts have size 0. Null ids share one random number; rows alike in id, source and size are interchangeable
-    (repeated rows may get different copies). Null sources are one source. An empty df gives an empty result. Extra
+    Null texts have size 0. The random number is that of id and text, so null ids and repeated ones are spread as well; rows alike in both share
+    one, and which of them are taken is left open (repeated rows may get different copies). Texts are read whole, of any length. Null sources are one source. An empty df gives an empty result. Extra
     columns are ignored. Sources are gathered in one task, one row each, as their weights depend on their order.
     """
     d = F.col(f"`{doc_id}`")
-    rows = df.select(d.alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
-    random = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
+    rows = df.select(d.alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), F.col(f"`{text}`").alias("x"))
+    random = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("x", F.lit("")).cast("binary"))).cast("binary")), 1, 13), 16, 10).cast("long")
+    rows = rows.select("doc_id", "source", "size", random.alias("random"))
+    random = F.col("random")
     rows = rows.withColumns({"key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "u": (random.cast("double") + 0.5) / float(1 << 52)})
     rows = staged(rows, "mixing-sizes")
     plan = targets(rows, weights, cap)
@@ -92,7 +94,7 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+         (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w, 3 * source_size AS most FROM sources),

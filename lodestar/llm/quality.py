@@ -77,10 +77,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows_per_class: int = 1_500, dictionary_bytes: int = 112 << 10) -> CompressionClassifier:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows_per_class: int = 1_500, dictionary_bytes: int = 112 << 10, sample_bytes: int = 48 << 20) -> CompressionClassifier:
     """Learn from the texts of docs whose id has a label 0 (bad) or 1 (good) in labels.
 
-    The bound: about rows_per_class ids of each label, chosen by a hash of the id, 4 * rows_per_class in all at most. Only they are joined
+    The bound: about rows_per_class ids of each label, chosen by a hash of the id, 4 * rows_per_class in all at most, and of these, in the order
+    of that hash, as many as have sample_bytes of text together (a longer text is passed over, for learning only). Only they are joined
     with the texts, as a broadcast of that size. Half of them make the dictionaries, the other half the calibration, weighted so that
     both labels count as in the whole of labels. With only one label, or none, every text scores the share of good labels (a half without labels).
     """
@@ -93,7 +94,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("y") == 1, min(1.0, rows_per_class / counts[1])).otherwise(min(1.0, rows_per_class / counts[0]))
     ids = known.where(place < share).distinct().orderBy(F.xxhash64("id"), "id", "y").limit(4 * rows_per_class)
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("x")).where("x IS NOT NULL").join(F.broadcast(ids), "id")
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("x")).where("x IS NOT NULL")
+    sizes = texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.max(F.octet_length("x")).alias("n")).orderBy(F.xxhash64("id"), "id", "y").collect()
+    chosen, used = [], 0
+    for r in sizes:
+        if used + r.n <= sample_bytes:
+            chosen.append((r.id, r.y))
+            used += r.n
+    ids = docs.sparkSession.createDataFrame(chosen, ids.schema)
+    own = texts.join(F.broadcast(ids), "id")
     rows = own.groupBy("id", "y").agg(F.min("x").alias("x")).withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))).collect()
     rows = sorted(((r.half, r.y, r.x) for r in rows), key=lambda r: (r[0], r[1], r[2]))
     learn = {y: [x for h, own, x in rows if h == 0 and own == y] for y in (0, 1)}
