@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from lodestar.operators import policy
 from lodestar.operators.filters import FilterError
 from lodestar.operators.search import DimensionError
 from lodestar.plans.collections import Conflict, Database, NotFound, QuotaExceeded, ValidationError
+from lodestar.plans.limits import Keys, Overloaded, Permits, RateLimiter, TooLarge, TooManyRequests, Unauthorized, check_size
 from lodestar.plans.metrics import Metrics
 from lodestar.plans.service import AuditLog, scrape
 from lodestar.sources.codecs import CodecError
 
 #: What each error means to a caller; others are 500.
-STATUS: tuple[tuple[type[Exception], int], ...] = ((NotFound, 404), (QuotaExceeded, 409), (Conflict, 409), (ValidationError, 400), (DimensionError, 400), (FilterError, 400), (CodecError, 400), (PermissionError, 403), (ValueError, 400))
+STATUS: tuple[tuple[type[Exception], int], ...] = ((Unauthorized, 401), (TooLarge, 413), (TooManyRequests, 429), (Overloaded, 503), (NotFound, 404), (QuotaExceeded, 409), (Conflict, 409), (ValidationError, 400), (DimensionError, 400), (FilterError, 400), (CodecError, 400), (PermissionError, 403), (ValueError, 400))
 #: Calls that may span all tenants; the rest belong to one.
 SPANNING = {"list_collections", "list_tenants", "list_backups", "metrics"}
 
@@ -36,6 +38,10 @@ class Config:
     slow_query_ms: float = 250.0
     default_tenant: str = policy.DEFAULT_TENANT
     audit_size: int = 1_000
+    body_bytes: int = 256 << 20
+    calls_at_a_time: int = 1_024
+    calls_a_second: float | None = None
+    burst: float = 100.0
 
 
 @dataclass
@@ -49,18 +55,32 @@ class Client:
     config: Config = field(default_factory=Config)
     metrics: Metrics = field(default_factory=Metrics)
     audit: AuditLog | None = None
+    permits: Permits | None = None
+    limiter: RateLimiter | None = None
 
     def __post_init__(self):
+        self.permits = self.permits or Permits(self.config.calls_at_a_time)
+        if self.limiter is None and self.config.calls_a_second:
+            self.limiter = RateLimiter(self.config.calls_a_second, self.config.burst)
         self.audit = self.audit or AuditLog(self.db, self.config.audit_size)
         if not isinstance(self.db.observer, Metrics):
             self.db.observer = self.metrics
         self.metrics = self.db.observer
 
     def with_tenant(self, tenant: str | None) -> Client:
-        return Client(self.db, self.principal, self.roles, tenant, self.config, self.metrics, self.audit)
+        return replace(self, tenant=tenant)
 
     def with_principal(self, principal: str, roles: tuple[str, ...]) -> Client:
-        return Client(self.db, principal, roles, self.tenant, self.config, self.metrics, self.audit)
+        return replace(self, principal=principal, roles=tuple(roles))
+
+    def with_key(self, keys: Keys, key: str | None) -> Client:
+        """On behalf of whom a key belongs to; CallError 401 if to nobody."""
+        try:
+            who = keys.of(key)
+        except Unauthorized as e:
+            self.metrics.called("KEY /", 401)
+            raise CallError(401, uuid.uuid4().hex, e) from e
+        return replace(self, principal=who.principal, roles=who.roles, tenant=who.tenant)
 
     def _call(self, name: str, route: str, f: Callable, tenant: str | None = None):
         """f(tenant), if the roles and the scope allow the call; every call is recorded with its status."""
@@ -73,7 +93,10 @@ class Client:
             own = tenant or self.tenant
             if own is None and name not in SPANNING:
                 raise PermissionError(f"{name} needs a tenant")
-            return f(own)
+            if self.limiter:
+                self.limiter.take(own, self.principal)
+            with self.permits.held():
+                return f(own)
         except Exception as e:
             status = next((s for kind, s in STATUS if isinstance(e, kind)), 500)
             raise CallError(status, trace, e) from e
@@ -110,9 +133,16 @@ class Client:
         return self._call("snapshot_tenant", "POST /tenants/{tenant}/snapshots", lambda t: self.db.snapshot_tenant(t, backup_id), tenant)
 
     def upsert(self, name: str, records) -> int:
-        return self._call("upsert", "POST /collections/{name}/vectors", lambda t: self.db.open(name, t).upsert_records(records))
+        """Records of one request, of body_bytes at most as JSON."""
+
+        def put(t):
+            check_size(len(json.dumps(records)), self.config.body_bytes)
+            return self.db.open(name, t).upsert_records(records)
+
+        return self._call("upsert", "POST /collections/{name}/vectors", put)
 
     def bulk_load(self, name: str, source: str, mode: str = "JSON", flush: bool = False, compact: bool = False) -> int:
+        """Records of files, of any size."""
         return self._call("upsert", "POST /collections/{name}/vectors:stream", lambda t: self.db.open(name, t).bulk_load(source, mode, flush, compact))
 
     def partial_update(self, name: str, updates) -> int:

@@ -11,8 +11,9 @@ from lodestar.operators import ann, batch, payload_index, state
 from lodestar.operators.filters import FilterError, Payload, check_ranges
 from lodestar.operators.ranks import nearest_ranks
 from lodestar.operators.search import IndexCache
-from lodestar.plans.client import CallError, Client
+from lodestar.plans.client import CallError, Client, Config
 from lodestar.plans.collections import Conflict, Database, DamagedPart
+from lodestar.plans.limits import Identity, Keys, Permits, RateLimiter, TooManyRequests
 from lodestar.plans.metrics import Histogram, summary
 from lodestar.plans.spi import ExactSearcher, Observer
 from lodestar.sources import synthetic
@@ -259,6 +260,45 @@ def test_client_roles_scope_errors_and_metrics(db):
     assert admin.audit.rows().where("status = 403").count() == 4
 
 
+def test_keys_rates_permits_and_sizes(db):
+    now = [0.0]
+    read = []
+
+    def source():
+        read.append(1)
+        return {"k1": Identity("ann", ("READER",), "a"), "k2": Identity("root", ("ADMIN",))}
+
+    keys = Keys(source=source, clock=lambda: now[0])
+    client = Client(db, config=Config(body_bytes=60))
+    assert client.with_key(keys, "Bearer k1").tenant == "a" and client.with_key(keys, "k2").tenant is None and len(read) == 1
+    now[0] = 2.0
+    with pytest.raises(CallError) as e:
+        client.with_key(keys, "other")
+    assert e.value.status == 401 and len(read) == 2
+    limiter = RateLimiter(1.0, 2.0, idle=10.0, clock=lambda: now[0])
+    limiter.take("a"), limiter.take("a"), limiter.take("b")
+    with pytest.raises(TooManyRequests):
+        limiter.take("a")
+    now[0] += 1
+    limiter.take("a")
+    now[0] += 100
+    limiter.take("c")
+    assert set(limiter.buckets) == {("c",)}
+    client.create_collection("docs", 2)
+    with pytest.raises(CallError) as e:
+        client.upsert("docs", [rec(f"v{i}", [1, 0]) for i in range(9)])
+    assert e.value.status == 413
+    client.permits = Permits(1)
+    with client.permits.held(), pytest.raises(CallError) as e:
+        client.stats("docs")
+    assert e.value.status == 503 and client.stats("docs")["live_vector_count"] == 0
+    client.limiter = RateLimiter(0.001, 1.0)
+    client.stats("docs")
+    with pytest.raises(CallError) as e:
+        client.stats("docs")
+    assert e.value.status == 429
+
+
 def test_observer_chunks_and_quota_of_storage(spark, db):
     class Seen(Observer):
         rows = 0
