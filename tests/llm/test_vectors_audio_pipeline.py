@@ -90,7 +90,7 @@ def test_shifted_and_noisy_recordings_align(spark):
     noisy = a[40 * hop :] + 0.002 * r.normal(size=len(a) - 40 * hop)
     rows = [(100, wav(a, rate)), (200, wav(b, rate)), (1, wav(noisy, rate)), (2, wav(b, rate)), (3, wav(tune(5), rate)), (4, b""), (5, None), (None, wav(a, rate))]
     prints = chroma.fingerprints(spark.createDataFrame(rows, "rec_id long, audio binary"), "audio", rate=rate, frame=1024, hop=hop)
-    got = {x.rec_id: x for x in chroma.align(prints).collect()}
+    got = {x.rec_id: x for x in chroma.align(prints, overlap=60).collect()}  # tunes that share a note are alike for some codes
     assert (got[1].query_id, got[1].offset) == (100, -40) and got[1].bit_errors < 0.1
     assert (got[2].query_id, got[2].bit_errors) == (200, 0.0)
     assert got[3].query_id is None and got[4].n_codes == 0 and got[5].n_codes == 0 and got[None].n_matches == 0
