@@ -113,7 +113,7 @@ def align(a: np.ndarray, b: np.ndarray, start: int, band: int = BAND, low: int =
 
     Only places of b from low on, before high, count.
 
-    A longest common subsequence over a band of diagonals, one row for each word of a.
+    A longest common subsequence over a band of diagonals, one row for each word of a. Of as long ones, that which begins last.
     """
     width, high = 2 * band + 1, len(b) if high is None else high
     best = [(0, -1, -1)] * width  # of diagonal start + d - band: matches, minus the first place, last place
@@ -127,7 +127,7 @@ def align(a: np.ndarray, b: np.ndarray, start: int, band: int = BAND, low: int =
             if low <= j < high and b[j] == word:
                 n, first, _ = best[d]
                 met = (n + 1, first if n else j, j)
-                score = max(score, met, key=lambda x: (x[0], x[1] - x[2]))
+                score = max(score, met, key=lambda x: (x[0], x[1], -x[2]))
             row[d] = score
         best = row
     n, first, last = max(best, key=lambda x: (x[0], x[1] - x[2]))
