@@ -94,10 +94,26 @@ def sized(rows: DataFrame) -> DataFrame:
     return rows.select("id", footprint(F.col("id"), F.col("payload"), F.coalesce(F.size("vector"), F.lit(0))).alias("bytes"))
 
 
+#: Rows of a range that numbered aims at, and the most ranges.
+RANGE_ROWS, RANGES = 1 << 12, 256
+
+
 def numbered(batch: DataFrame, base: int, order: str) -> DataFrame:
-    """batch with sequences base+1, base+2, ... in the given order, without gathering it: counts by range partition, then places in each."""
-    part = batch.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
-    sizes = part.groupBy("part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("before", before).select("part", "before")
-    return part.join(F.broadcast(starts), "part").withColumn("sequence", F.lit(base + 1).cast("long") + F.col("before") + F.col("place")).drop("part", "place", "before")
+    """batch with sequences base+1, base+2, ... in the given order (nulls first), without gathering it: counts by range, then places in each.
+
+    A row's range follows from its value and bounds that were drawn once. The partitions of two runs don't do: samples, and what adaptive
+    execution joins, differ between a run that counts and one that reads whole rows. batch must come out alike each time, so write it before.
+    """
+    n, key = batch.count(), F.col(order)
+    ranges = min(RANGES, -(-n // RANGE_ROWS))
+    part = F.lit(0)
+    if ranges > 1:
+        drawn = batch.select(order).where(key.isNotNull()).sample(min(1.0, 64 * ranges / n), 0).orderBy(order).collect()
+        bounds = list(dict.fromkeys(drawn[len(drawn) * k // ranges][0] for k in range(1, ranges))) if drawn else []
+        if bounds:
+            part = F.size(F.filter(F.array(*(F.lit(b).cast(batch.schema[order].dataType) for b in bounds)), lambda b: b <= key))
+    rows = batch.withColumn("part", part)
+    sizes = {r[0]: r[1] for r in rows.groupBy("part").count().collect()} if ranges > 1 else {}
+    before = F.array(*(F.lit(sum(c for p, c in sizes.items() if p < k)).cast("long") for k in range(max(sizes, default=0) + 1)))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return rows.withColumn("sequence", F.lit(base).cast("long") + F.element_at(before, F.col("part") + 1) + place).drop("part")
