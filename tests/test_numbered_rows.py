@@ -25,7 +25,7 @@ def embeddings(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["collection_compacted", "collection_filtered_search", "collection_counts"])
+@pytest.mark.parametrize("name", ["collection_compacted", "collection_filtered_search", "collection_counts", "collection_search"])
 def test_collections_of_many_rows_as_by_sql(spark, embeddings, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS FROM '{embeddings}/embeddings.parquet/*.parquet'")
